@@ -262,11 +262,11 @@ def cluster_sizes(spark, sf):
     "jaccard",
     f"WITH {ORDERS}, t AS (SELECT o_orderstatus AS a, o_orderpriority AS b, "
     "CAST(count(*) AS DOUBLE) AS n FROM oc GROUP BY ALL), "
-    "s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS both, "
+    "s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS shared, "
     "(SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY a)) AS l, "
     "(SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY b)) AS r) "
-    "SELECT CAST(both AS BIGINT) AS pairs_both, CAST(l + r - both AS BIGINT) AS pairs_either, "
-    f"{rd('both / (l + r - both)')} AS jaccard FROM s",
+    "SELECT CAST(shared AS BIGINT) AS pairs_both, CAST(l + r - shared AS BIGINT) AS "
+    f"pairs_either, {rd('shared / (l + r - shared)')} AS jaccard FROM s",
 )
 def jaccard(spark, sf):
     return rounded(validate.jaccard(orders(spark, sf), "o_orderstatus", "o_orderpriority"))

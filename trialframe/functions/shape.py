@@ -72,3 +72,13 @@ def yeo_johnson_expr(x: Column, lam: float) -> Column:
         -F.log1p(-x) if abs(other) < 1e-12 else -F.expm1(F.log1p(-x) * other) / other
     )
     return F.when(x >= 0, positive).otherwise(negative)
+
+
+def yeo_johnson_of(x: Column, lam: Column) -> Column:
+    """ψ(x, λ) with λ in a column."""
+    other = 2.0 - lam
+    positive = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise(F.expm1(F.log1p(x) * lam) / lam)
+    negative = F.when(F.abs(other) < 1e-12, -F.log1p(-x)).otherwise(
+        -F.expm1(F.log1p(-x) * other) / other
+    )
+    return F.when(x >= 0, positive).otherwise(negative)

@@ -81,7 +81,7 @@ def group_sizes(df: DataFrame, group: str) -> DataFrame:
 def factorial_counts(df: DataFrame, rows: str, columns: str, values=(0, 1)) -> DataFrame:
     """Count matrix of two factors, with 0 for empty cells; values that are known need no scan."""
     return (
-        df.groupBy(col(rows)).pivot(columns, list(values)).agg(F.count("*"))
+        df.groupBy(col(rows)).pivot(columns, list(values)).agg(F.count(F.lit(1)))
         .na.fill(0).filter(col(rows).isNotNull())
     )
 

@@ -1,9 +1,12 @@
 """K-means for many k, restarts and replicates at the same time.
 
-One pass over the data advances every model: a task assigns its batches for all models by
-matrix products and sends on (weight, cost, sum of x) per model and cluster; Spark adds
-these, and the driver gets models × k × p numbers.  So ten restarts of five values of k, or
-the hundreds of fits of a gap statistic, cost as many scans as the slowest of them.
+Large tables: one pass over the data advances every model.  A task assigns its batches for
+all models by matrix products and sends on (weight, cost, sum of x) per model and cluster;
+Spark adds these, and the driver gets models × k × p numbers.  So ten restarts of five values
+of k, or the hundreds of fits of a gap statistic, cost as many scans as the slowest of them.
+
+Small tables (at most ``SMALL_CELLS`` values, checked): the table is broadcast and the models
+are spread over the tasks instead.  Both ways take the same steps.
 
 Replicate data are never stored.  A row's weight in a bootstrap replicate (Poisson, the
 large-table form of drawing with replacement) and its stand-in in a uniform reference are
@@ -26,6 +29,7 @@ from trialframe.operators.features import Features
 from trialframe.plans.arrays import array_sum, square_distances, to_lists, to_matrix
 
 SEED_ROWS = 2_000
+SMALL_CELLS = 4_000_000
 MAX_ITER = 300
 TOLERANCE = 1e-4
 
@@ -90,6 +94,23 @@ def row_hash(id_col: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), col(id_col))
 
 
+def _step(x: np.ndarray, w: np.ndarray | None, centers: np.ndarray):
+    """(weight, cost, sum of x) per cluster when every row goes to its nearest center."""
+    k = len(centers)
+    d = square_distances(x, centers)
+    near = d.argmin(axis=1)
+    best = d[np.arange(len(x)), near]
+    hot = np.zeros((len(x), k))
+    hot[np.arange(len(x)), near] = 1.0 if w is None else w
+    cost = np.bincount(near, weights=best if w is None else best * w, minlength=k)
+    return hot.sum(axis=0), cost, hot.T @ x
+
+
+def _moved(centers: np.ndarray, weight: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """New centers; a cluster without rows stays where it is."""
+    return np.where(weight[:, None] > 0, total / np.maximum(weight, 1e-300)[:, None], centers)
+
+
 def _statistics(frame: DataFrame, models: Sequence[Model], which: Sequence[int], p: int):
     """{model: (weights, cost, sums)} of the current centers, by one pass."""
     views: dict[World, list[int]] = {}
@@ -98,9 +119,8 @@ def _statistics(frame: DataFrame, models: Sequence[Model], which: Sequence[int],
     centers = {m: models[m].centers for m in which}
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = {m: np.zeros(len(c)) for m, c in centers.items()}
-        cost = {m: np.zeros(len(c)) for m, c in centers.items()}
-        total = {m: np.zeros_like(c) for m, c in centers.items()}
+        sums = {m: [np.zeros(len(c)), np.zeros(len(c)), np.zeros_like(c)]
+                for m, c in centers.items()}
         seen = False
         for batch in batches:
             if not batch.num_rows:
@@ -110,30 +130,21 @@ def _statistics(frame: DataFrame, models: Sequence[Model], which: Sequence[int],
             h = batch.column(0).to_numpy(zero_copy_only=False)
             for world, members in views.items():
                 x, w = _view(world, raw, h)
-                if w is not None:
-                    x, w = x[w > 0], w[w > 0]
                 for m in members:
-                    d = square_distances(x, centers[m])
-                    near = d.argmin(axis=1)
-                    best = d[np.arange(len(x)), near]
-                    k = len(centers[m])
-                    hot = np.zeros((len(x), k))
-                    hot[np.arange(len(x)), near] = 1.0 if w is None else w
-                    weight[m] += hot.sum(axis=0)
-                    cost[m] += np.bincount(
-                        near, weights=best if w is None else best * w, minlength=k
-                    )
-                    total[m] += hot.T @ x
+                    for have, new in zip(sums[m], _step(x, w, centers[m])):
+                        have += new
         if seen:
             ids = np.concatenate([np.full(len(c), m) for m, c in centers.items()])
             spots = np.concatenate([np.arange(len(c)) for c in centers.values()])
+            weight, cost, total = (np.concatenate([v[i] for v in sums.values()])
+                                   for i in range(3))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int32()),
                     pa.array(spots, pa.int32()),
-                    pa.array(np.concatenate(list(weight.values())), pa.float64()),
-                    pa.array(np.concatenate(list(cost.values())), pa.float64()),
-                    to_lists(np.concatenate(list(total.values())), pa.float64()),
+                    pa.array(weight, pa.float64()),
+                    pa.array(cost, pa.float64()),
+                    to_lists(total, pa.float64()),
                 ],
                 names=["model", "cluster", "w", "cost", "s"],
             )
@@ -174,55 +185,124 @@ def _spread_seeds(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.nd
     return np.array(chosen)
 
 
+def _starts(world: World, k: int, x: np.ndarray, h: np.ndarray, number: int, n_init: int,
+            seed: int) -> list[np.ndarray]:
+    """Starting centers of every restart, from a bounded sample of the world."""
+    seen, w = _view(world, x, h)
+    if w is not None and (w > 0).sum() >= k:
+        seen = seen[w > 0]
+    return [
+        _spread_seeds(seen, k, np.random.default_rng([seed, number, r])) for r in range(n_init)
+    ]
+
+
+def _tolerance(world: World) -> float:
+    """Allowed squared shift: relative to the variance of a (scaled or uniform) feature."""
+    if world.kind != "uniform":
+        return TOLERANCE
+    return TOLERANCE * float(np.mean([(hi - lo) ** 2 / 12 for lo, hi in world.box]))
+
+
 def fit_models(
     feats: Features, wanted: Sequence[tuple[int, World]], n_init: int = 10, seed: int = 42,
-    max_iter: int = MAX_ITER,
+    max_iter: int = MAX_ITER, small_cells: int = SMALL_CELLS,
 ) -> list[Model]:
     """The best of ``n_init`` restarts for every (k, world), in the order of ``wanted``."""
-    p = feats.width
     frame = feats.frame.select(row_hash(feats.id_col, seed).alias("h"), "x")
+    if feats.n * feats.width <= small_cells:
+        return _fit_small(frame, feats.width, wanted, n_init, seed, max_iter)
+    return _fit_large(frame, feats.width, wanted, n_init, seed, max_iter)
+
+
+def _fit_large(frame, p, wanted, n_init, seed, max_iter) -> list[Model]:
     rows = frame.orderBy("h").limit(SEED_ROWS).collect()
-    known = np.array([r["x"] for r in rows], dtype="float64").reshape(-1, p)
-    hashes = np.array([r["h"] for r in rows], dtype="int64")
-    models: list[Model] = []
-    tolerance = []
-    for number, (k, world) in enumerate(wanted):
-        x, w = _view(world, known, hashes)
-        if w is not None and (w > 0).sum() >= k:
-            x = x[w > 0]
-        spread = (
-            float(np.mean([(hi - lo) ** 2 / 12 for lo, hi in world.box]))
-            if world.kind == "uniform"
-            else 1.0
-        )
-        for restart in range(n_init):
-            rng = np.random.default_rng([seed, number, restart])
-            models.append(Model(k, world, _spread_seeds(x, k, rng), restart))
-            tolerance.append(TOLERANCE * spread)
+    x = np.array([r["x"] for r in rows], dtype="float64").reshape(-1, p)
+    h = np.array([r["h"] for r in rows], dtype="int64")
+    models = [
+        Model(k, world, start, r)
+        for number, (k, world) in enumerate(wanted)
+        for r, start in enumerate(_starts(world, k, x, h, number, n_init, seed))
+    ]
+    active = list(range(len(models)))
     for _ in range(max_iter):
-        active = [i for i, m in enumerate(models) if not m.done]
         if not active:
             break
         stats = _statistics(frame, models, active, p)
         for i in active:
             w, _, s = stats[i]
-            moved = models[i].centers.copy()
-            full = w > 0
-            moved[full] = s[full] / w[full, None]
+            moved = _moved(models[i].centers, w, s)
             shift = float(((moved - models[i].centers) ** 2).sum())
             models[i].centers = moved
-            models[i].done = shift <= tolerance[i]
+            models[i].done = shift <= _tolerance(models[i].world)
+        active = [i for i in active if not models[i].done]
     final = _statistics(frame, models, range(len(models)), p)
     for i, m in enumerate(models):
         w, cost, s = final[i]
-        m.inertia, m.sizes = float(cost.sum()), w
-        m.means = np.where(w[:, None] > 0, s / np.maximum(w, 1e-300)[:, None], m.centers)
+        m.inertia, m.sizes, m.means = float(cost.sum()), w, _moved(m.centers, w, s)
     return [
         min(models[i : i + n_init], key=lambda m: m.inertia)
         for i in range(0, len(models), n_init)
     ]
 
 
+def _fit_small(frame, p, wanted, n_init, seed, max_iter) -> list[Model]:
+    """Models over tasks.  The table has at most SMALL_CELLS values and is broadcast."""
+    spark = frame.sparkSession
+    table = frame.orderBy("h").toArrow()
+    data = spark.sparkContext.broadcast(
+        (to_matrix(table.column("x"), p), table.column("h").to_numpy())
+    )
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, h = data.value
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                k, world = wanted[number]
+                x, w = _view(world, raw, h)
+                if w is not None:
+                    x, w = x[w > 0], w[w > 0]
+                best = None
+                for start in _starts(world, k, raw[:SEED_ROWS], h[:SEED_ROWS], number, n_init,
+                                     seed):
+                    centers = start
+                    for _ in range(max_iter):
+                        weight, _, total = _step(x, w, centers)
+                        moved = _moved(centers, weight, total)
+                        shift = float(((moved - centers) ** 2).sum())
+                        centers = moved
+                        if shift <= _tolerance(world):
+                            break
+                    weight, cost, total = _step(x, w, centers)
+                    if best is None or cost.sum() < best[1].sum():
+                        best = (weight, cost, _moved(centers, weight, total), centers)
+                weight, cost, means, centers = best
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([number], pa.int32()),
+                        pa.array([float(cost.sum())], pa.float64()),
+                        *[to_lists(v.reshape(1, -1), pa.float64())
+                          for v in (weight, means, centers)],
+                    ],
+                    names=["number", "inertia", "sizes", "means", "centers"],
+                )
+
+    tasks = spark.range(0, len(wanted), 1, min(len(wanted), 4_096))
+    rows = tasks.mapInArrow(
+        train,
+        "number int, inertia double, sizes array<double>, means array<double>, "
+        "centers array<double>",
+    ).collect()
+    out: list[Model | None] = [None] * len(wanted)
+    for r in rows:
+        k, world = wanted[r["number"]]
+        out[r["number"]] = Model(
+            k, world, np.array(r["centers"]).reshape(k, p), 0, True, r["inertia"],
+            np.array(r["sizes"]), np.array(r["means"]).reshape(k, p),
+        )
+    data.unpersist()
+    return out
+
+
 def labels_udf(models: Sequence[Model], p: int):
     """x → array<int> with the nearest center of every model."""
     centers = [m.centers for m in models]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -116,26 +117,18 @@ def _pair_sums(points, labels, codes, starts, total, p, block_rows):
 
 
 def _square_sums(df, points, labels, codes, p):
-    """Σ‖x − y‖² over a cluster = m·‖x‖² − 2·x·Σy + Σ‖y‖², from cluster sums."""
-    squared = F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v)
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("i"), col(c).cast("int").alias("label"))
-          for i, c in enumerate(labels)]
-    )
-    stats = (
-        df.select("x", squared.alias("q"), F.inline(cells))
-        .filter(F.col("label").isNotNull()).groupBy("i", "label")
-        .agg(F.count("*").alias("m"), F.sum("q").alias("q"), array_sum("x", p).alias("s"))
-    )
-    known = {(r["i"], r["label"]): r for r in stats.collect()}
-    terms = []
-    own = F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v)
-    for i in range(len(labels)):
-        for c in codes[i]:
-            r = known[(i, c)]
-            dot = sum((F.col("x")[j] * float(v) for j, v in enumerate(r["s"])), F.lit(0.0))
-            terms.append(F.greatest(own * r["m"] - 2 * dot + r["q"], F.lit(0.0)))
-    return points.withColumn("s", F.array(*terms))
+    """Σ‖x − y‖² over a cluster = m·‖x − c‖² + w, from the clusters' means c and spreads w."""
+    moments = _cluster_moments(df, labels, p, codes)
+    means = np.concatenate([m.means for m in moments])
+    sizes = np.concatenate([m.sizes for m in moments])
+    spread = np.concatenate([m.within for m in moments])
+
+    @F.arrow_udf("array<double>")
+    def sums(x: pa.Array) -> pa.Array:
+        d = square_distances(to_matrix(x, p), means)
+        return to_lists(d * sizes + spread, pa.float64())
+
+    return points.withColumn("s", sums("x"))
 
 
 def silhouette(
@@ -161,51 +154,105 @@ def silhouette(
     return means.select(F.inline(rows))
 
 
-def _cluster_moments(df: DataFrame, labels: Sequence[str], p: int) -> DataFrame:
-    """(labeling, label, n, mean array, w: within sum of squares)."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("labeling"), col(c).cast("int").alias("label")) for c in labels]
-    )
-    spread = sum((F.var_pop(F.col("x")[j]) for j in range(p)), F.lit(0.0))
-    return (
-        df.select("x", F.inline(cells)).filter(F.col("label").isNotNull())
-        .groupBy("labeling", "label")
-        .agg(
-            F.count("*").alias("n"),
-            F.array(*[F.avg(F.col("x")[j]) for j in range(p)]).alias("mean"),
-            (spread * F.count("*")).alias("w"),
+@dataclass
+class Moments:
+    """Sizes, means and within sums of squares of the clusters of one labeling."""
+
+    sizes: np.ndarray
+    means: np.ndarray
+    within: np.ndarray
+
+
+def _slots(batch: pa.RecordBatch, codes: Sequence[Sequence[int]]) -> list[np.ndarray]:
+    """Per labeling (columns 1 …): the cluster's position, −1 where there is no label."""
+    out = []
+    for i, known in enumerate(codes):
+        raw = batch.column(i + 1).to_numpy(zero_copy_only=False).astype("float64")
+        at = np.searchsorted(known, np.nan_to_num(raw, nan=0.0))
+        out.append(np.where(np.isnan(raw), -1, at).astype("int64"))
+    return out
+
+
+def _cluster_moments(
+    df: DataFrame, labels: Sequence[str], p: int, codes: Sequence[Sequence[int]] | None = None
+) -> list[Moments]:
+    """Two passes for all labelings together: sums, then squared distances to the own mean.
+
+    A task sends on one row per cluster; clusters × p numbers reach the driver.
+    """
+    codes = codes or [sorted(c) for c in _label_counts(df, labels)]
+    starts = np.cumsum([0, *[len(c) for c in codes]])
+    total = int(starts[-1])
+    known = [np.array(c, dtype="float64") for c in codes]
+    source = df.select("x", *[col(c).cast("int") for c in labels])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = np.zeros(total), np.zeros((total, p))
+        for batch in batches:
+            x = to_matrix(batch.column(0), p)
+            for i, at in enumerate(_slots(batch, known)):
+                hot = np.zeros((len(x), len(codes[i])))
+                ok = at >= 0
+                hot[np.flatnonzero(ok), at[ok]] = 1.0
+                n[starts[i] : starts[i + 1]] += hot.sum(axis=0)
+                s[starts[i] : starts[i + 1]] += hot.T @ x
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(total), pa.int32()), pa.array(n), to_lists(s, pa.float64())],
+            names=["slot", "n", "s"],
         )
-    )
+
+    n, mean = np.zeros(total), np.zeros((total, p))
+    for r in source.mapInArrow(sums, "slot int, n double, s array<double>").groupBy("slot").agg(
+        F.sum("n").alias("n"), array_sum("s", p).alias("s")
+    ).collect():
+        n[r["slot"]] = r["n"]
+        mean[r["slot"]] = np.array(r["s"]) / max(r["n"], 1.0)
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.zeros(total)
+        for batch in batches:
+            x = to_matrix(batch.column(0), p)
+            for i, at in enumerate(_slots(batch, known)):
+                ok = at >= 0
+                off = x[ok] - mean[starts[i] + at[ok]]
+                w[starts[i] : starts[i + 1]] += np.bincount(
+                    at[ok], weights=(off * off).sum(axis=1), minlength=len(codes[i])
+                )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(total), pa.int32()), pa.array(w)], names=["slot", "w"]
+        )
+
+    within = np.zeros(total)
+    for r in source.mapInArrow(squares, "slot int, w double").groupBy("slot").agg(
+        F.sum("w").alias("w")
+    ).collect():
+        within[r["slot"]] = r["w"]
+    cuts = list(zip(starts[:-1], starts[1:]))
+    return [Moments(n[a:b], mean[a:b], within[a:b]) for a, b in cuts]
 
 
 def within_ss(df: DataFrame, labels: Sequence[str], width: int) -> DataFrame:
     """(labeling, within_ss): squared distances to the own cluster's mean."""
-    return _cluster_moments(df, labels, width).groupBy("labeling").agg(
-        F.sum("w").alias("within_ss")
-    )
+    rows = [
+        (name, float(m.within.sum()))
+        for name, m in zip(labels, _cluster_moments(df, labels, width))
+    ]
+    return df.sparkSession.createDataFrame(rows, "labeling string, within_ss double")
 
 
 def calinski_harabasz(df: DataFrame, labels: Sequence[str], width: int) -> DataFrame:
     """(labeling, calinski) = (B / (k − 1)) / (W / (n − k)); NaN with fewer than two clusters."""
-    moments = _cluster_moments(df, labels, width)
-    share = [F.sum(F.col("n") * F.col("mean")[j]) / F.sum("n") for j in range(width)]
-    grand = moments.groupBy("labeling").agg(F.array(*share).alias("grand"))
-    off = F.aggregate(
-        F.zip_with("mean", "grand", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-        lambda t, v: t + v,
-    )
-    sums = moments.join(grand, "labeling").groupBy("labeling").agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("w").alias("w"),
-        F.sum(F.col("n") * off).alias("b"),
-    )
-    value = (F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))
-    # Identical rows within every cluster: the score is 1 by convention.
-    return sums.select(
-        "labeling",
-        F.when((F.col("k") > 1) & (F.col("n") > F.col("k")),
-               F.when(F.col("w") > 0, value).otherwise(1.0))
-        .otherwise(F.lit(math.nan)).alias("calinski"),
-    )
+    rows = []
+    for name, m in zip(labels, _cluster_moments(df, labels, width)):
+        k, n, w = len(m.sizes), m.sizes.sum(), m.within.sum()
+        value = math.nan
+        if k > 1 and n > k:
+            grand = (m.sizes[:, None] * m.means).sum(axis=0) / n
+            between = float((m.sizes * ((m.means - grand) ** 2).sum(axis=1)).sum())
+            # Identical rows within every cluster: the score is 1 by convention.
+            value = (between / (k - 1)) / (float(w) / (n - k)) if w > 0 else 1.0
+        rows.append((name, float(value)))
+    return df.sparkSession.createDataFrame(rows, "labeling string, calinski double")
 
 
 # ---------------------------------------------------------------- agreement of labelings
