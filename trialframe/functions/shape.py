@@ -8,6 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def ratio(top: Column, bottom: Column) -> Column:
+    """top / bottom as a double; null instead of an error when the bottom is 0 (ANSI mode)."""
+    return F.try_divide(top.cast("double"), bottom.cast("double"))
+
+
+def correlation_of(x: Column, y: Column) -> Column:
+    """Pearson correlation over complete pairs (aggregate); null without spread.
+
+    The built-in ``corr`` fails on a column without spread when ANSI mode is on.
+    """
+    return ratio(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+
+
 def skew_corrected(c: Column) -> Column:
     """Bias-corrected skewness G1 (aggregate); null below 3 values, 0 without variance."""
     n = F.count(c).cast("double")

@@ -8,24 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.columns import col, num, resolve_columns
-from trialframe.functions.shape import kurtosis_corrected, skew_corrected
-from trialframe.plans.onepass import fitted, long_strings, per_variable
+from trialframe.functions.shape import kurtosis_corrected, ratio, skew_corrected
+from trialframe.plans.joins import join_keyed
+from trialframe.plans.onepass import fitted, long_form, long_strings, per_variable
 from trialframe.plans.quantiles import exact_quantiles, medians
 
 
-def _join_quantiles(stats: DataFrame, quantiles: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach a quantile table; null group keys match each other."""
-    right = quantiles.select(
-        *[col(b).alias(f"__{i}") for i, b in enumerate(by)],
-        F.col("variable").alias("__v"),
-        *[col(c) for c in quantiles.columns if c not in (*by, "variable")],
-    )
-    on = F.col("variable") == F.col("__v")
-    for i, b in enumerate(by):
-        on = on & col(b).eqNullSafe(F.col(f"__{i}"))
-    return stats.join(right, on, "left").drop("__v", *[f"__{i}" for i in range(len(by))])
-
-
 def profile_table(df: DataFrame) -> DataFrame:
     """(variable, position, dtype, n, missing_values, n_present) in one pass."""
     counts = per_variable(
@@ -61,7 +49,7 @@ def describe_numeric(df: DataFrame, cols=None, id_col=None, by: Sequence[str] =
         by,
     )
     quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by)
-    return _join_quantiles(stats, quartiles, by).select(
+    return join_keyed(stats, quartiles, [*by, "variable"], "left").select(
         *[col(b) for b in by],
         "variable",
         "count",
@@ -73,7 +61,7 @@ def describe_numeric(df: DataFrame, cols=None, id_col=None, by: Sequence[str] =
         F.col("q")[2].alias("q3"),
         "max",
         (F.col("rows") - F.col("count")).alias("missing"),
-        ((F.col("rows") - F.col("count")) / F.col("rows") * 100).alias("missing_pct"),
+        (ratio(F.col("rows") - F.col("count"), F.col("rows")) * 100).alias("missing_pct"),
         "skew",
         "kurtosis",
     )
@@ -94,7 +82,7 @@ def summarize(df: DataFrame, cols, by: Sequence[str] = ()) -> DataFrame:
         },
         by,
     )
-    return _join_quantiles(stats, medians(df, cols, by), by).select(
+    return join_keyed(stats, medians(df, cols, by), [*by, "variable"], "left").select(
         *[col(b) for b in by],
         "variable",
         "n",
@@ -104,7 +92,7 @@ def summarize(df: DataFrame, cols, by: Sequence[str] = ()) -> DataFrame:
         "min",
         "max",
         (F.col("rows") - F.col("n")).alias("missing"),
-        ((F.col("rows") - F.col("n")) / F.col("rows") * 100).alias("missing_pct"),
+        (ratio(F.col("rows") - F.col("n"), F.col("rows")) * 100).alias("missing_pct"),
     )
 
 
@@ -181,9 +169,7 @@ def box_stats(df: DataFrame, cols, by: Sequence[str] = ()) -> DataFrame:
     fences = quartiles.withColumn("low_fence", F.col("q1") - 1.5 * iqr).withColumn(
         "high_fence", F.col("q3") + 1.5 * iqr
     )
-    from trialframe.plans.onepass import long_form
-
-    cells = _join_quantiles(long_form(df, cols, by), fences, by)
+    cells = join_keyed(long_form(df, cols, by), fences, [*by, "variable"])
     v = F.col("value")
     inside = (v >= F.col("low_fence")) & (v <= F.col("high_fence"))
     keys = [col(b) for b in by]

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.columns import col, num, split_columns
-from trialframe.functions.shape import balance_class
+from trialframe.functions.shape import balance_class, ratio
 from trialframe.functions.tails import f_pvalue
 from trialframe.operators.explore import summarize
+from trialframe.plans.joins import join_keyed
 from trialframe.plans.onepass import long_strings, per_variable
 
 # Treatment codes and the two factors behind them.
@@ -151,7 +152,7 @@ def categorical_by_group(df: DataFrame, variables: Sequence[str], group: str) ->
         F.count("*").alias("n")
     )
     totals = counts.groupBy(col(group), "variable").agg(F.sum("n").alias("total"))
-    return counts.join(totals, [group, "variable"]).select(
+    return join_keyed(counts, totals, [group, "variable"]).select(
         col(group), "variable", "value", "n", (F.col("n") / F.col("total") * 100).alias("pct")
     )
 
@@ -237,12 +238,10 @@ def smd_balance(
     ).filter("n0 > 0")
     both = stats.filter(col(group) != F.lit(reference)).join(ref, "variable")
     zero = F.lit(0.0)
-    pooled = F.sqrt(
-        (
-            (F.col("n0") - 1) * F.coalesce("v0", zero) + (F.col("n") - 1) * F.coalesce("v", zero)
-        )
-        / (F.col("n0") + F.col("n") - 2)
-    )
+    pooled = F.sqrt(ratio(
+        (F.col("n0") - 1) * F.coalesce("v0", zero) + (F.col("n") - 1) * F.coalesce("v", zero),
+        F.col("n0") + F.col("n") - 2,
+    ))
     smd = F.when(
         F.col("n") > 0,
         F.when(pooled > 0, F.abs((F.col("m") - F.col("reference_mean")) / pooled)).otherwise(0.0),

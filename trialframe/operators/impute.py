@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.columns import col, num, resolve_columns
+from trialframe.functions.shape import ratio
 from trialframe.functions.tails import t_pvalue
 from trialframe.operators.explore import summarize
 from trialframe.operators.knn import impute_knn
@@ -127,7 +128,7 @@ def welch_t(long: DataFrame, group: str, first: str, second: str, min_n: int = 5
             for name, fn in (("n", F.count), ("m", F.avg), ("v", F.var_samp))
         ]
     )
-    a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
+    a, b = ratio(F.col("v1"), F.col("n1")), ratio(F.col("v2"), F.col("n2"))
     enough = (F.col("n1") >= min_n) & (F.col("n2") >= min_n) & (a + b > 0)
     t = F.when(enough, (F.col("m1") - F.col("m2")) / F.sqrt(a + b))
     freedom = F.when(

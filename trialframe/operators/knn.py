@@ -17,6 +17,8 @@ How the work is kept small and spread out:
   salted into blocks of bounded size; each block sends on at most k donors per gap.
 
 The radius and bound only rule out rows that cannot be neighbours, so results are exact.
+Equal rows are searched for once, and of equal donors only the k with the smallest ids can
+ever be chosen, so copies cost nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.columns import col, num
@@ -149,17 +151,13 @@ def _matrix(series: pd.Series, p: int) -> np.ndarray:
 
 
 def neighbours(
-    df: DataFrame, id_col: str, cols: Sequence[str], k: int, moments: dict[str, dict]
-) -> DataFrame:
-    """(id, var int, donor, d2, value): the k nearest donors of every gap, z-scored values."""
-    p = len(cols)
+    df: DataFrame, id_col: str, x: Column, p: int, k: int
+) -> tuple[DataFrame, DataFrame]:
+    """(id, var int, donor, d2, value): the k nearest donors of every gap, and the searches
+    (id, x), one per distinct row with a gap.  ``x``: z-scored values, NaN for a gap."""
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
-    scaled = [
-        F.coalesce((num(c) - moments[c]["mean"]) / moments[c]["sd"], F.lit(float("nan")))
-        for c in cols
-    ]
-    rows = df.select(col(id_col).alias("id"), F.array(*scaled).alias("x"))
+    rows = df.select(col(id_col).alias("id"), x.alias("x"))
     sample_rows = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("x").collect()
     sample = np.array([r["x"] for r in sample_rows], dtype="float64").reshape(-1, p)
     cells = Cells(sample)
@@ -179,11 +177,16 @@ def neighbours(
             ok = splits.bounds2(x) <= (radius * (1 + 1e-9))[:, None]
             yield batch.assign(cells=[np.flatnonzero(row).astype("int32") for row in ok])
 
-    donors = rows.mapInPandas(place, f"id {id_type}, x array<double>, cell int")
+    copies = Window.partitionBy("x").orderBy("id")
+    donors = (
+        rows.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k)
+        .select("id", "x")
+        .mapInPandas(place, f"id {id_type}, x array<double>, cell int")
+    )
     has_gap = F.exists("x", lambda v: F.isnan(v))
+    searches = rows.filter(has_gap).groupBy("x").agg(F.min("id").alias("id")).select("id", "x")
     receivers = (
-        rows.filter(has_gap)
-        .mapInPandas(reach, f"id {id_type}, x array<double>, cells array<int>")
+        searches.mapInPandas(reach, f"id {id_type}, x array<double>, cells array<int>")
         .select("id", "x", F.explode("cells").alias("cell"))
     )
     # Cell sizes decide the salts: at most n_cells numbers come back.
@@ -250,7 +253,8 @@ def neighbours(
         )
     )
     w = Window.partitionBy("id", "var").orderBy("d2", "donor")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    near = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return near, searches
 
 
 def impute_knn(
@@ -265,13 +269,18 @@ def impute_knn(
     marks = [col(c).isNull().alias(f"{c}__imputed") for c in used] if flags else []
     if not used:
         return df
-    near = neighbours(df, id_col, used, k, moments)
-    filled = (
+    x = F.array(*[
+        F.coalesce((num(c) - moments[c]["mean"]) / moments[c]["sd"], F.lit(float("nan")))
+        for c in used
+    ])
+    near, searches = neighbours(df, id_col, x, len(used), k)
+    means = (
         near.groupBy("id", "var").agg(F.avg("value").alias("z"))
-        .groupBy(F.col("id").alias("__id"))
+        .groupBy("id")
         .agg(*[F.max(F.when(F.col("var") == i, F.col("z"))).alias(f"__z{i}")
                for i in range(len(used))])
     )
+    filled = searches.join(means, "id").drop("id").withColumnRenamed("x", "__found")
     gap = F.lit(False)
     for c in used:
         gap = gap | col(c).isNull()
@@ -286,7 +295,9 @@ def impute_knn(
     whole = df.filter(~gap).select(
         *[num(c).alias(c) if c in order else col(c) for c in df.columns], *marks
     )
-    mended = df.filter(gap).join(filled, col(id_col) == F.col("__id"), "left").select(
+    mended = df.filter(gap).withColumn("__x", x).join(
+        filled, F.col("__x") == F.col("__found"), "left"
+    ).select(
         *[value(c) if c in order else col(c) for c in df.columns], *marks
     )
     return whole.unionByName(mended)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.columns import col
+from trialframe.functions.shape import ratio
 from trialframe.operators.explore import profile_table
 from trialframe.plans.moments import correlations
 from trialframe.plans.onepass import per_variable
@@ -19,7 +20,7 @@ def missing_report(df: DataFrame, dictionary: DataFrame | None = None) -> DataFr
     report = profile_table(df).select(
         "variable",
         "missing_values",
-        (F.col("missing_values") / F.col("n") * 100).alias("percentage"),
+        (ratio(F.col("missing_values"), F.col("n")) * 100).alias("percentage"),
         "dtype",
     )
     if dictionary is not None:
@@ -55,11 +56,11 @@ def overview(df: DataFrame) -> DataFrame:
         "n_rows",
         F.lit(p).cast("long").alias("n_columns"),
         cells.alias("missing_cells"),
-        (cells / (F.col("n_rows") * p) * 100).alias("pct_missing_cells"),
+        (ratio(cells, F.col("n_rows") * p) * 100).alias("pct_missing_cells"),
         touched.cast("long").alias("n_variables_missing"),
         (touched / F.lit(p) * 100).alias("pct_variables_missing"),
         "complete_rows",
-        (F.col("complete_rows") / F.col("n_rows") * 100).alias("pct_complete_rows"),
+        (ratio(F.col("complete_rows"), F.col("n_rows")) * 100).alias("pct_complete_rows"),
     )
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.columns import col, num, split_columns
-from trialframe.functions.shape import cramers_v, effect_band, eta_squared
+from trialframe.functions.shape import cramers_v, effect_band, eta_squared, ratio
 from trialframe.functions.tails import chi2_pvalue
 from trialframe.operators.features import Features
 from trialframe.operators.groups import anova
 from trialframe.operators.reduce import pca
+from trialframe.plans.joins import join_keyed
 from trialframe.plans.onepass import long_strings, per_variable
 
 CHARACTERIZATION_SCHEMA = (
@@ -73,10 +74,10 @@ def zscore_profile(df: DataFrame, label: str, cols: Sequence[str], top: int = 20
     )
     both = stats.join(grand, "variable")
     spread = both.groupBy("variable").agg(
-        F.sqrt(
-            F.sum(F.col("ss") + F.col("n") * F.pow(F.col("m") - F.col("grand"), F.lit(2)))
-            / (F.first("total") - 1)
-        ).alias("std")
+        F.sqrt(ratio(
+            F.sum(F.col("ss") + F.col("n") * F.pow(F.col("m") - F.col("grand"), F.lit(2))),
+            F.first("total") - 1,
+        )).alias("std")
     ).filter("std > 0")
     z = both.join(spread, "variable").select(
         col(label).alias("phenotype"), "variable",
@@ -179,10 +180,9 @@ def chi_square(df: DataFrame, variables: Sequence[str], cluster: str) -> DataFra
         F.sum("c").alias("n"), F.count("*").alias("n_clusters")
     )
     heights = rows.groupBy("variable").agg(F.count("*").alias("n_values"))
-    full = (
-        cells.join(rows, ["variable", "value"]).join(cols, ["variable", "cluster"])
-        .join(totals, "variable").join(heights, "variable")
-    )
+    # A value has at most one cell per cluster; clusters and variables own many cells.
+    full = join_keyed(cells.join(rows, ["variable", "value"]), cols, ["variable", "cluster"])
+    full = join_keyed(full, totals.join(heights, "variable"), ["variable"])
     e = F.col("r") * F.col("c") / F.col("n")
     off = F.col("o") - e
     summed = full.groupBy("variable", "n", "n_values", "n_clusters").agg(

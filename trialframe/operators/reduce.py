@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.columns import col, complete_cases, num, resolve_columns, split_columns
+from trialframe.functions.shape import correlation_of, ratio
 from trialframe.plans.onepass import fitted, long_strings, per_variable
 from trialframe.sources.dictionary import describe_variables
 
@@ -167,7 +168,7 @@ def _coordinates(scores: DataFrame, nums, cats, k: int) -> DataFrame:
             F.struct(
                 F.lit(c).alias("variable"),
                 F.lit(i + 1).alias("component"),
-                F.nanvl(F.corr(num(c), F.col(d)), F.lit(None).cast("double")).alias("loading"),
+                correlation_of(num(c), F.col(d)).alias("loading"),
             )
             for c in nums
             for i, d in enumerate(dims)
@@ -184,12 +185,9 @@ def _coordinates(scores: DataFrame, nums, cats, k: int) -> DataFrame:
             F.struct(
                 F.lit(c).alias("variable"),
                 F.lit(i + 1).alias("component"),
-                (
-                    F.sum(F.col("n") * F.col(f"m_{d}") * F.col(f"m_{d}"))
-                    / (
-                        F.sum(F.col("n") * F.col(f"m_{d}") * F.col(f"m_{d}"))
-                        + F.sum(f"w_{d}")
-                    )
+                ratio(
+                    F.sum(F.col("n") * F.col(f"m_{d}") * F.col(f"m_{d}")),
+                    F.sum(F.col("n") * F.col(f"m_{d}") * F.col(f"m_{d}") + F.col(f"w_{d}")),
                 ).alias("loading"),
             )
             for i, d in enumerate(dims)

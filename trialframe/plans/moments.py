@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.columns import num
+from trialframe.functions.shape import correlation_of
 from trialframe.plans.onepass import fitted, per_variable
 
 SQL_COLUMNS = 24
@@ -34,7 +35,6 @@ def _sql(df, cols):
         for j in range(i + 1, len(cols)):
             x, y = num(a), num(cols[j])
             both = x.isNotNull() & y.isNotNull()
-            # corr of a column without variance is NaN in Spark; undefined is null here.
             rows.append(
                 F.struct(
                     F.lit(i).alias("i"),
@@ -42,7 +42,7 @@ def _sql(df, cols):
                     F.lit(a).alias("var1"),
                     F.lit(cols[j]).alias("var2"),
                     F.count(F.when(both, 1)).alias("n"),
-                    F.nanvl(F.corr(x, y), F.lit(None).cast("double")).alias("r"),
+                    correlation_of(x, y).alias("r"),
                 )
             )
     if not rows:

@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.columns import col
+from trialframe.plans.joins import join_keyed, local_copy
 from trialframe.plans.onepass import long_form, per_variable, plan_bytes
 
 SMALL_BYTES = 64 << 20
 ACCURACY = 20_000
 CELLS = 1_000
+SMALL_ROWS = 100_000
+FEW_ROWS = 20_000
 
 
 def exact_quantiles(
@@ -41,8 +44,7 @@ def exact_quantiles(
     A variable without values gives null (builtin) or no row (bracket).
     """
     if strategy == "auto":
-        size = plan_bytes(df.select(*[col(c) for c in [*by, *cols]]))
-        strategy = "builtin" if size is not None and size <= SMALL_BYTES else "bracket"
+        strategy = "builtin" if _is_small(df.select(*[col(c) for c in [*by, *cols]])) else "bracket"
     if strategy == "builtin":
         grid = F.array(*[F.lit(float(p)) for p in probs])
         rows = per_variable(df, cols, {"q": lambda c: F.percentile(c, grid)}, by)
@@ -50,18 +52,26 @@ def exact_quantiles(
     return _bracketed(df, cols, [float(p) for p in probs], list(by))
 
 
+def _is_small(df: DataFrame) -> bool:
+    """By Catalyst's estimate; where that is unknown or a product of guesses, by looking."""
+    size = plan_bytes(df)
+    if size is not None and size <= SMALL_BYTES:
+        return True
+    return len(df.select(F.lit(1)).take(FEW_ROWS + 1)) <= FEW_ROWS
+
+
 def _bracketed(df, cols, probs, by):
     keys = [*[col(b) for b in by], F.col("variable")]
     names = [*by, "variable"]
     long = long_form(df, cols, by)
     slack = 2.0 / ACCURACY
     edges = [e for p in probs for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    sketch = long.groupBy(*keys).agg(
+    sketch = cut_small(long.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.min("value").alias("vmin"),
         F.max("value").alias("vmax"),
         F.percentile_approx("value", F.array(*[F.lit(e) for e in edges]), ACCURACY).alias("e"),
-    )
+    ))
     # Few values: take everything, so that both neighbours of a rank are surely inside.
     few = F.col("n") <= 4 * ACCURACY
     wanted = F.array(
@@ -90,12 +100,12 @@ def _bracketed(df, cols, probs, by):
         ),
     ).otherwise(0)
     placed = (
-        long.join(packed, names)
+        join_keyed(long, packed, names)
         .select(*keys, "value", F.inline("b"))
         .filter(F.col("value") <= F.col("hi"))
         .withColumn("cell", F.when(F.col("value") < F.col("lo"), -1).otherwise(cell).cast("int"))
     )
-    counted = placed.groupBy(*keys, "i", "cell").agg(F.count("*").alias("m"))
+    counted = cut_small(placed.groupBy(*keys, "i", "cell").agg(F.count("*").alias("m")))
     w = Window.partitionBy(*keys, "i").orderBy("cell")
     cumulated = counted.withColumn("upto", F.sum("m").over(w)).withColumn(
         "before", F.col("upto") - F.col("m")
@@ -103,19 +113,14 @@ def _bracketed(df, cols, probs, by):
     ranks = brackets.select(*keys, "i", "k", "n", "pos")
     # The cells in which rank k or k + 1 falls.
     hit = (
-        cumulated.join(ranks, [*names, "i"])
+        join_keyed(cumulated, ranks, [*names, "i"])
         .filter((F.col("before") <= F.least(F.col("k") + 1, F.col("n") - 1))
                 & (F.col("upto") > F.col("k")))
-        .withColumn(
-            "ok",
-            F.when(F.col("cell") < 0, F.raise_error(F.lit("quantile bracket missed its rank")))
-            .otherwise(F.lit(True)),
-        )
-        .filter("ok")
+        .filter(F.col("cell") >= 0)
         .select(*keys, "i", "cell", "before", "k", "n", "pos")
     )
     values = (
-        placed.join(hit, [*names, "i", "cell"])
+        join_keyed(placed, hit, [*names, "i", "cell"])
         .groupBy(*keys, "i", "cell", "value", "before", "k", "n", "pos")
         .agg(F.count("*").alias("m"))
     )
@@ -123,12 +128,12 @@ def _bracketed(df, cols, probs, by):
     ranked = values.withColumn("upto", F.col("before") + F.sum("m").over(inner))
     at = F.col("upto") - F.col("m")
     upper = F.least(F.col("k") + 1, F.col("n") - 1)
-    picked = ranked.groupBy(*keys, "i").agg(
+    found = ranked.groupBy(*keys, "i").agg(
         F.max(F.when((at <= F.col("k")) & (F.col("upto") > F.col("k")), F.col("value"))).alias("a"),
         F.max(F.when((at <= upper) & (F.col("upto") > upper), F.col("value"))).alias("b"),
-        F.first("pos").alias("pos"),
-        F.first("k").alias("k"),
     )
+    # A rank that was not found would mean a broken sketch: fail rather than answer wrongly.
+    picked = join_keyed(ranks, found, [*names, "i"], "left")
     value = F.when(
         F.col("a").isNull() | F.col("b").isNull(),
         F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
@@ -140,6 +145,12 @@ def _bracketed(df, cols, probs, by):
     )
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """A small intermediate result as a local relation, so that it is computed once."""
+    known = local_copy(df, SMALL_ROWS)
+    return df if known is None else known
+
+
 def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by…, variable, median)."""
     rows = exact_quantiles(df, cols, [0.5], by)

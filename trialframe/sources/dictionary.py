@@ -212,8 +212,8 @@ def drop_category(df: DataFrame, category: str = "follow_up") -> DataFrame:
 def prefix_groups(dictionary: DataFrame, first: int = 10) -> DataFrame:
     """(prefix, n_variables, examples): text before the first dot, else ``General``.
 
-    The examples are kept by a bounded merge of per-task lists: ranks are taken per prefix
-    and block of rows first, so that a prefix that owns most rows is not sorted in one task.
+    Ranks up to ``first`` are cut on the map side (window group limit), so a prefix that owns
+    most names is not sorted in one task.
     """
     named = dictionary.filter(F.length("variable") > 0).select(
         F.when(F.instr("variable", ".") > 0, F.split("variable", "[.]")[0])
@@ -222,11 +222,9 @@ def prefix_groups(dictionary: DataFrame, first: int = 10) -> DataFrame:
         "ord",
     )
     counts = named.groupBy("prefix").agg(F.count("*").alias("n_variables"))
-    block = Window.partitionBy("prefix", F.expr("pmod(xxhash64(ord), 256)")).orderBy("ord")
-    whole = Window.partitionBy("prefix").orderBy("ord")
+    w = Window.partitionBy("prefix").orderBy("ord")
     head = (
-        named.withColumn("r", F.row_number().over(block)).filter(F.col("r") <= first)
-        .withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= first)
+        named.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= first)
         .groupBy("prefix")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "variable"))),
                          lambda s: s["variable"]).alias("examples"))
