@@ -88,7 +88,8 @@ def factorial_counts(df: DataFrame, rows: str, columns: str, values=(0, 1)) -> D
 
 
 def _display(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+    """A number as text; ``nan`` where there is none."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value)).otherwise("nan")
 
 
 def baseline_long(df: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
@@ -105,10 +106,8 @@ def baseline_long(df: DataFrame, variables: Sequence[str], group: str) -> DataFr
     parts = []
     if nums:
         stats = per_variable(df, nums, {"m": F.avg, "s": F.stddev_samp}, [group])
-        text = F.concat(_display(F.col("m"), 2), F.lit(" ± "), F.coalesce(
-            _display(F.col("s"), 2), F.lit("nan")))
-        parts.append(stats.select(
-            "variable", col(group), F.coalesce(text, F.lit("N/A")).alias("text")))
+        text = F.concat(_display(F.col("m"), 2), F.lit(" ± "), _display(F.col("s"), 2))
+        parts.append(stats.select("variable", col(group), text.alias("text")))
     if cats:
         sizes = df.groupBy(col(group)).agg(F.count("*").alias("rows"))
         counts = long_strings(df, cats, [group]).groupBy(col(group), "variable", "value").agg(

@@ -341,13 +341,16 @@ def _refit_labels(feats: Features, method, k, n_bootstrap, fraction, seed) -> Da
     from trialframe.operators.cluster import gmm
     from trialframe.operators.ward import ward
 
-    parts = []
-    for b in range(n_bootstrap):
-        def times(h: pa.Array, b=b) -> pa.Array:
+    def times(b: int):
+        @F.arrow_udf("double")
+        def weight(h: pa.Array) -> pa.Array:
             return pa.array(poisson_weights(h.to_numpy(zero_copy_only=False), b, fraction))
 
-        weight = F.arrow_udf(times, "double")(row_hash(feats.id_col, seed))
-        sample = feats.frame.withColumn("__w", weight).filter("__w > 0")
+        return weight(row_hash(feats.id_col, seed))
+
+    parts = []
+    for b in range(n_bootstrap):
+        sample = feats.frame.withColumn("__w", times(b)).filter("__w > 0")
         rep = replace(feats, frame=sample, cached=False)
         frame = (
             ward(rep, [k], weights="__w") if method == "agglomerative"
