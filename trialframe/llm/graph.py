@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import store
+from trialframe.llm.common import release, store
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,6 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         if row[0] == 0 or tuple(row) == mark:
             break
         mark = tuple(row)
-        now = store(_small_star(_large_star(now)), "edges")
+        last, now = now, store(_small_star(_large_star(now)), "edges")
+        release(last)
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import WORD, chunks, gram_hashes, store, word_hashes
+from trialframe.llm.common import WORD, chunks, gram_hashes, release, store, word_hashes
 from trialframe.llm.fmindex import FMIndex
 
 ANCHOR = 5
@@ -186,16 +186,21 @@ def repeated_windows(docs: DataFrame, threshold: int = 13, often: int = 10_000,
         F.collect_set(F.when(F.col("n") > often, F.col("anchor"))).alias("hot")), "hits")
     found = store(base.withColumn("key", F.xxhash64("text")).join(hits, "doc_id").select(
         "doc_id", "key", "text", "shared", "hot").mapInArrow(
-        lambda b: _cut(b, threshold), "place long, stretch string, start int, doc_id long, key long"),
+        lambda b: _cut(b, threshold), "place long, stretch string, start int, doc_id long, key long")
+        .withColumn("name", F.xxhash64("stretch")),
         "stretches")
+    release(anchors, hits)
     different = store(found.groupBy("place", "stretch").agg(F.min("doc_id").alias("first")), "different")
     shards = max(1, -(-different.count() // shard_stretches))
     answers = store(different.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
                     .groupBy("shard").applyInArrow(
-        _search(threshold), "place long, stretch string, firsts array<long>"), "answers")
+        _search(threshold), "place long, stretch string, firsts array<long>")
+                    .select("place", F.xxhash64("stretch").alias("name"), "firsts"), "answers")
+    release(different)
     earlier = F.filter(F.transform("firsts", lambda d, i: F.when(d < F.col("doc_id"), F.col("start") + i)),
                        lambda x: x.isNotNull())
-    return found.join(answers, ["place", "stretch"]).select("doc_id", "key", earlier.alias("c")) \
+    # Within a place, a stretch is named by a 64-bit hash: its text was needed for the index only.
+    return found.drop("stretch").join(answers, ["place", "name"]).select("doc_id", "key", earlier.alias("c")) \
         .where(F.size("c") > 0).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("c")).alias("covered"))
 
 
