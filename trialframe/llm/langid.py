@@ -51,8 +51,8 @@ def packed_grams(texts: list[str | None], order: int) -> Iterator[tuple[np.ndarr
     for i, j in chunks(texts):
         whole = " ".join(["", *(t or "" for t in texts[i:j]), ""])
         starts = np.cumsum([1, *(len(t or "") + 1 for t in texts[i:j])])
-        tail, before = np.zeros(0, np.uint64), True
-        tail_doc = np.zeros(0, np.int64)
+        tail, before = np.zeros(max(0, order - 2), np.uint64), True
+        tail_doc = np.full(len(tail), -1, np.int64)
         for at in range(0, len(whole), BLOCK):
             points = np.frombuffer(whole[at:at + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)
             cls = table[points].astype(np.uint64)
@@ -73,7 +73,7 @@ def packed_grams(texts: list[str | None], order: int) -> Iterator[tuple[np.ndarr
                     foreign = doc[order - 1 - k:order - 1 - k + m] != last
                     gram[foreign] &= np.uint64((1 << (CLASS * k)) - 1)
                 yield gram[own], last[own] + i, j
-            tail, tail_doc = cls[-(order - 1):], doc[-(order - 1):]
+            tail, tail_doc = cls[len(cls) - order + 1:], doc[len(cls) - order + 1:]
 
 
 def _count(batches: Iterator[pa.RecordBatch], order: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
