@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trialframe.llm.common import chunks, gram_hashes, mix, store, word_hashes
+from trialframe.llm.common import chunks, gram_hashes, mix, release, store, word_hashes
 from trialframe.llm.graph import components
 from trialframe.llm.hnsw import _forest
 
@@ -108,11 +108,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int, fold: bool) -> DataF
         apply, "cid long, size long, grams array<long>").dropDuplicates(["cid"])
 
 
-def _ordered(sets: DataFrame, fragments: int) -> DataFrame:
-    """(cid, size, parts): the grams that a second set has, by fragment of the global order.
-
-    ``parts`` is an array of (fragment, grams, prefix), the last the grams of the set's prefix.
-    """
+def _ordered(sets: DataFrame, fragments: int) -> tuple[DataFrame, DataFrame]:
+    """The stored grams behind it, and (cid, grams): (place, gram, n, fragment) in global order."""
     grams = sets.select("cid", F.explode("grams").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("n")).select(F.col("gram").alias("g"), "n")
     # The order: by number of sets, then by hash.
@@ -121,7 +118,7 @@ def _ordered(sets: DataFrame, fragments: int) -> DataFrame:
     cuts = placed.where("n > 1").agg(F.percentile_approx(
         "place", [i / fragments for i in range(1, fragments)], 1000)).first()[0] or []
     fragment = sum((F.when(F.col("place") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    return placed.groupBy("cid").agg(F.array_sort(F.collect_list(
+    return placed, placed.groupBy("cid").agg(F.array_sort(F.collect_list(
         F.struct("place", "gram", F.col("n"), fragment.alias("fragment")))).alias("grams"))
 
 
@@ -195,7 +192,9 @@ def _compare(parts: DataFrame, members: DataFrame, pivots: DataFrame, percent: i
 
 def _link(sets: DataFrame, percent: int, fragments: int, round_pivots: int, block_rows: int) -> DataFrame:
     """(cid, root) for the classes that link with another."""
-    ordered = store(_ordered(sets, fragments).join(sets.select("cid", "size"), "cid"), "ordered")
+    placed, arranged = _ordered(sets, fragments)
+    ordered = store(arranged.join(sets.select("cid", "size"), "cid"), "ordered")
+    release(placed)
     first = F.slice("grams", 1, (F.col("size") - least_overlap(F.col("size"), percent) + 1).cast("int"))
     prefix = ordered.select("cid", F.explode(F.filter(first, lambda g: g["n"] > 1)["gram"]).alias("gram"))
     heads = prefix.groupBy("gram").agg(F.min("cid").alias("head")).select(F.col("gram").alias("g"), "head")
@@ -264,15 +263,19 @@ def near_duplicates(
         prints.where("size > 0").groupBy("k1", "k2", "size").agg(
             F.min("doc_id").alias("first"), F.first("prefix").alias("prefix"))
         .select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
+    slim = store(prints.drop("prefix"), "fingerprints")
+    release(prints)
     wanted = store(_eligible(classes, percent), "eligible")
+    named = store(classes.drop("prefix"), "classes")
+    release(classes)
     linked = _link(store(_whole_sets(docs, wanted, n, fold), "sets"), percent, fragments,
                    round_pivots, block_rows)
-    placed = classes.drop("prefix").join(linked, "cid", "left").select(
+    placed = named.join(linked, "cid", "left").select(
         "k1", "k2", "size", "first", F.coalesce("root", "cid").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component"))
     known = placed.join(smallest, "root").select(
         F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("size").alias("cs"), "component")
     same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("size") == F.col("cs"))
-    return prints.drop("prefix").join(known, same, "left").select(
+    return slim.join(known, same, "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
         F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
