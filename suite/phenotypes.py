@@ -422,6 +422,35 @@ def characterize(spark, sf):
     return rounded(t.withColumn("Statistic", F.round("Statistic", 4)))
 
 
+_EDGES = (
+    f"WITH {ORDERS}, e AS (SELECT *, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM oc) THEN 'X' "
+    "ELSE o_orderstatus END AS cl FROM oc), e2 AS (SELECT * FROM e WHERE cl <> 'X'), a AS ("
+    + _anova_sql(["o_totalprice"], "cl", "e2")
+    + f"), f AS (SELECT variable, {_F} AS f, n - n_groups AS d, ssb / (ssb + ssw) AS e FROM a), "
+    "t AS (SELECT variable, f, (1 + 2 * f / d) ** (-d / 2) AS p, e FROM f)"
+)
+
+
+@query(
+    "characterize_edges",
+    _EDGES + f" SELECT variable AS Variable, 'ANOVA' AS TestType, {rd('f', 4)} AS Statistic, "
+    f"{rd('p')} AS PValue, {rd('least(1, 2 * p)')} AS CorrectedPValue, least(1, 2 * p) <= 0.05 "
+    f"AS RejectNullFDR, {rd('e')} AS EffectSize FROM t UNION ALL "
+    "SELECT 'same', 'ANOVA_NoVarianceOrSameMean', 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, false, "
+    "0.0::DOUBLE UNION ALL SELECT 'one_side', 'ANOVA_NotEnoughGroups', 'nan'::DOUBLE, 'nan'::DOUBLE, "
+    "'nan'::DOUBLE, NULL, 'nan'::DOUBLE",
+)
+def characterize_edges(spark, sf):
+    """A cluster with one row, a constant, and a variable that one cluster alone has."""
+    o = orders(spark, sf)
+    first = o.agg(F.min("o_orderkey")).first()[0]
+    o = o.withColumn("cl", F.when(F.col("o_orderkey") == first, "X").otherwise(F.col("o_orderstatus")))
+    o = o.withColumn("same", F.lit(2.5)).withColumn(
+        "one_side", F.when(F.col("cl") == "F", F.col("o_totalprice")))
+    t = pheno.characterize(o, "cl", ["o_totalprice", "same", "one_side"])
+    return rounded(t.withColumn("Statistic", F.round("Statistic", 4)))
+
+
 @query(
     "fdr_bh",
     f"WITH {DIMENSIONS}, a AS (" + _anova_sql(DIMS, "given_3", "di")

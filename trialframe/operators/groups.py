@@ -163,19 +163,22 @@ def outcome_stats(df: DataFrame, outcomes: Sequence[str], group: str) -> DataFra
     )
 
 
-def anova(df: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
+def anova(
+    df: DataFrame, variables: Sequence[str], group: str, min_values: int = 1
+) -> DataFrame:
     """(variable, n_groups, n, ss_between, ss_within, df_between, df_within, f_statistic,
     p_value, eta_squared, significant).
 
-    Per (variable, group) only count, mean and variance leave the tasks.  Fewer than two
-    non-empty groups, or no spare degree of freedom, give null F and p.
+    Per (variable, group) only count, mean and variance leave the tasks.  Groups with fewer than
+    ``min_values`` values are left out.  Fewer than two groups, or no spare degree of freedom,
+    give null F and p.
     """
     stats = per_variable(
         df.filter(col(group).isNotNull()),
         variables,
         {"n": F.count, "m": F.avg, "ss": lambda c: F.var_pop(c) * F.count(c)},
         [group],
-    ).filter("n > 0")
+    ).filter(F.col("n") >= max(1, min_values))
     grand = stats.groupBy("variable").agg(
         F.count("*").alias("n_groups"),
         F.sum("n").alias("total"),

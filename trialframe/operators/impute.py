@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -43,12 +44,17 @@ def impute(
     exclude: Sequence[str] = (),
     cols=None,
     flags: bool = False,
+    on_unknown: str = "raise",
 ) -> DataFrame:
     """The table with missing numeric values filled; a column without any value stays null.
 
-    mean and median: one aggregation, then a projection.  An unknown method is an error.
+    mean and median: one aggregation, then a projection.  An unknown method is an error, or with
+    ``on_unknown="keep"`` a warning and the table as it is.
     """
     if method not in METHODS:
+        if on_unknown == "keep":
+            warnings.warn(f"unknown imputation method {method!r}: nothing imputed", stacklevel=2)
+            return df
         raise ValueError(f"unknown imputation method {method!r}, expected one of {METHODS}")
     chosen = targets(df, id_col, exclude, cols)
     if not chosen:

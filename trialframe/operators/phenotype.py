@@ -237,7 +237,7 @@ def characterize(
 
     Numeric: one-way ANOVA with η²; otherwise chi-square with Cramér's V.  TestType tells
     what could not be tested: InsufficientClusters (one cluster), ANOVA_NotEnoughGroups (fewer
-    than two groups with two values each), ANOVA_NoVarianceOrSameMean (F 0, p 1, effect 0),
+    than two groups with two values each; groups with one value are left out of the test), ANOVA_NoVarianceOrSameMean (F 0, p 1, effect 0),
     ChiSquare_SmallTable, Error_VariableNotFoundInSource.
     """
     spark = df.sparkSession
@@ -268,15 +268,17 @@ def characterize(
         parts.append(constant([*nums, *cats], "InsufficientClusters"))
         nums, cats = [], []
     if nums:
-        table = anova(there, nums, cluster)
+        # A cluster with one value says nothing about spread; the others are tested.
+        table = anova(there, nums, cluster, min_values=2)
         groups = per_variable(there, nums, {"n": F.count}, [cluster]).groupBy("variable").agg(
-            F.count(F.when(F.col("n") > 0, 1)).alias("filled"),
-            F.count(F.when(F.col("n") == 1, 1)).alias("single"),
+            F.count(F.when(F.col("n") >= 2, 1)).alias("filled"),
         )
         joined = groups.join(table, "variable", "left")
-        few = (F.col("filled") < 2) | (F.col("single") > 0)
-        # No spread at all, or the same mean everywhere: nothing differs.
-        flat = F.coalesce(F.col("ss_between"), F.lit(0.0)) <= 0
+        few = F.col("filled") < 2
+        # No spread at all, or the same mean everywhere but for rounding: nothing differs.
+        flat = F.coalesce(
+            F.col("ss_between") <= 1e-12 * (F.col("ss_between") + F.col("ss_within")), F.lit(True)
+        )
         kind = (
             F.when(few, "ANOVA_NotEnoughGroups").when(flat, "ANOVA_NoVarianceOrSameMean")
             .otherwise("ANOVA")

@@ -262,6 +262,12 @@ def _pairs(n):
     return n * (n - 1) / 2
 
 
+def _exact_pairs(n):
+    """The same for a column, exact beyond 2^53."""
+    n = n.cast("decimal(19,0)")
+    return ((n * (n - 1)) / 2).cast("decimal(38,0)")
+
+
 def jaccard(df: DataFrame, first: str, second: str) -> DataFrame:
     """One row: co-membership Jaccard of two label columns over rows with both labels.
 
@@ -270,20 +276,20 @@ def jaccard(df: DataFrame, first: str, second: str) -> DataFrame:
     a, b = col(first), col(second)
     table = df.filter(a.isNotNull() & b.isNotNull()).groupBy(
         a.alias("a"), b.alias("b")
-    ).agg(F.count("*").cast("double").alias("n"))
-    both = table.agg(F.coalesce(F.sum(_pairs(F.col("n"))), F.lit(0.0)).alias("both"))
-    left = table.groupBy("a").agg(F.sum("n").alias("n")).agg(
-        F.coalesce(F.sum(_pairs(F.col("n"))), F.lit(0.0)).alias("left"))
-    right = table.groupBy("b").agg(F.sum("n").alias("n")).agg(
-        F.coalesce(F.sum(_pairs(F.col("n"))), F.lit(0.0)).alias("right"))
+    ).agg(F.count("*").alias("n"))
+    total = F.coalesce(F.sum(_exact_pairs(F.col("n"))), F.lit(0)).cast("decimal(38,0)")
+    both = table.agg(total.alias("both"))
+    left = table.groupBy("a").agg(F.sum("n").alias("n")).agg(total.alias("left"))
+    right = table.groupBy("b").agg(F.sum("n").alias("n")).agg(total.alias("right"))
     one = both.withColumn("one", F.lit(1)).join(left.withColumn("one", F.lit(1)), "one").join(
         right.withColumn("one", F.lit(1)), "one"
     )
-    either = F.col("left") + F.col("right") - F.col("both")
+    either = (F.col("left") + F.col("right") - F.col("both")).cast("decimal(38,0)")
+    share = F.col("both").cast("double") / either.cast("double")
     return one.select(
         F.col("both").cast("long").alias("pairs_both"),
         either.cast("long").alias("pairs_either"),
-        F.when(either > 0, F.col("both") / either).otherwise(0.0).alias("jaccard"),
+        F.when(either > 0, share).otherwise(0.0).alias("jaccard"),
     )
 
 

@@ -11,12 +11,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder that the session names.
 
     ``spark.checkpoint.dir`` is the cluster's setting.  Only where nothing is set (tests on
-    one machine) a temporary folder is used.
+    one machine) a temporary folder is used; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
             "spark.checkpoint.dir", None
         )
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="trialframe-checkpoint-"))
     return df.checkpoint(eager=True)
