@@ -44,6 +44,18 @@ def test_near_duplicates_are_brute_force(spark):
     assert [(got[i].n_links, got[i].component_id) for i in (906, 907)] == [(1, 906), (1, 906)]
 
 
+def test_graph_of_three_layers_finds_neighbours():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4400, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    assert [len(k) for k in graph.links] == [4400, 275, 18]
+    ids, sims = graph.near(x[:200], 32)
+    want = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
+    assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, want)]) > 0.95
+    assert (ids[:, 0] == np.arange(200)).all()
+
+
 def test_near_duplicates_edges(spark):
     assert hnsw.near_duplicates(frame(spark, [])).count() == 0
     got = hnsw.near_duplicates(frame(spark, [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [1.0, 0.0])])).collect()

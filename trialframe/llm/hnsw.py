@@ -83,7 +83,7 @@ class Graph:
         while done < size:
             new = np.arange(done, min(size, 2 * done, done + SEED))
             q = self.x[new]
-            cand, sim = self._beam(links, done, q, self._enter(q), ef)
+            cand, sim = self._beam(links, done, q, self._enter(q, done), ef)
             own = q @ q.T
             np.fill_diagonal(own, -2)
             near = np.argsort(-own, axis=1, kind="stable")[:, :min(len(new) - 1, m)]
@@ -123,11 +123,11 @@ class Graph:
             links[at] = _select(self.x, at, np.take_along_axis(c, order, 1),
                                 np.take_along_axis(s, order, 1), m)
 
-    def _enter(self, q: np.ndarray) -> np.ndarray:
-        """The nearest node found on the layers above, for each query."""
+    def _enter(self, q: np.ndarray, inserted: int) -> np.ndarray:
+        """The nearest node found on the layers above, among those inserted so far."""
         at = np.zeros(len(q), np.int64)
         for links in reversed(self.links):
-            found, _ = self._beam(links, len(links), q, at, 8)
+            found, _ = self._beam(links, min(len(links), inserted), q, at, 8)
             at = found[:, 0]
         return at
 
@@ -174,7 +174,7 @@ class Graph:
         return ids, sims
 
     def near(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        return self._beam(self.links[0], len(self.x), q, self._enter(q), ef)
+        return self._beam(self.links[0], len(self.x), q, self._enter(q, len(self.x)), ef)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -249,7 +249,7 @@ def build_index(units: DataFrame, shards: int, ef: int = 48) -> DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, ef: int = 48, min_shards: int = 12,
+    vectors: DataFrame, threshold: float = 0.9, ef: int = 32, min_shards: int = 6,
     shard_rows: int = 500_000, block_rows: int = 100_000, audits: int = 64, recall: float = 0.99,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding).
@@ -261,7 +261,7 @@ def near_duplicates(
     id have the component of those they link with, null if these have no id either, and are
     kept only then.  Other columns are not used.
 
-    A shard has about ``shard_rows`` units, or a twelfth of all if there are fewer; a task holds
+    A shard has about ``shard_rows`` units, or one of ``min_shards`` parts of all if fewer; a task holds
     one shard and at most about ``block_rows`` queries.  ``audits`` queries per task are compared
     with the whole shard, and beams doubled until ``recall`` of their links is found.
     """
