@@ -31,6 +31,16 @@ def test_quantiles_without_broadcast(spark, monkeypatch):
         assert got[g] == pytest.approx(np.percentile(part["x"], [20, 50]))
 
 
+@pytest.mark.parametrize("strategy", ["builtin", "bracket"])
+def test_quantiles_of_a_variable_without_values_are_null(spark, strategy):
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, None), ("b", None, None)],
+                               "g string, x double, y double")
+    got = {(r["g"], r["variable"]): r["q"]
+           for r in exact_quantiles(df, ["x", "y"], [0.5], ["g"], strategy).collect()}
+    assert {k: v and v[0] for k, v in got.items()} == {
+        ("a", "x"): 2.0, ("a", "y"): None, ("b", "x"): None, ("b", "y"): None}
+
+
 def test_null_groups_are_kept(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 5.0)], "g string, x double")
     got = {r["g"]: r["median"] for r in explore.summarize(df, ["x"], ["g"]).collect()}

@@ -80,8 +80,8 @@ def fitted(rows: DataFrame) -> dict[str, dict]:
 
 
 def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a DataFrame (no job is run); None where it is unknown."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # e.g. a Connect session, which has no JVM handle
+    """Catalyst's size estimate of a DataFrame (no job is run); None in a session without a JVM."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
         return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))

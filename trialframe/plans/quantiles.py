@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from trialframe.columns import col
 from trialframe.plans.joins import join_keyed, local_copy
+from trialframe.plans.lineage import cut_lineage
 from trialframe.plans.onepass import long_form, per_variable, plan_bytes
 
 SMALL_BYTES = 64 << 20
@@ -41,7 +42,7 @@ def exact_quantiles(
     """(by…, variable, q array<double>), one entry of ``q`` per probability.
 
     ``strategy``: ``builtin``, ``bracket`` or ``auto`` (by the estimated input size).
-    A variable without values gives null (builtin) or no row (bracket).
+    A variable without values gives null.
     """
     if strategy == "auto":
         strategy = "builtin" if _is_small(df.select(*[col(c) for c in [*by, *cols]])) else "bracket"
@@ -66,12 +67,13 @@ def _bracketed(df, cols, probs, by):
     long = long_form(df, cols, by)
     slack = 2.0 / ACCURACY
     edges = [e for p in probs for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    sketch = cut_small(long.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.min("value").alias("vmin"),
-        F.max("value").alias("vmax"),
-        F.percentile_approx("value", F.array(*[F.lit(e) for e in edges]), ACCURACY).alias("e"),
-    ))
+    # One plain aggregation, also for groups without values: they keep a row, with null quantiles.
+    grid = F.array(*[F.lit(e) for e in edges])
+    all_groups = cut_small(per_variable(df, cols, {
+        "n": F.count, "vmin": F.min, "vmax": F.max,
+        "e": lambda c: F.percentile_approx(c, grid, ACCURACY),
+    }, by).drop("position"))
+    sketch = all_groups.filter(F.col("n") > 0)
     # Few values: take everything, so that both neighbours of a rank are surely inside.
     few = F.col("n") <= 4 * ACCURACY
     wanted = F.array(
@@ -138,17 +140,24 @@ def _bracketed(df, cols, probs, by):
         F.col("a").isNull() | F.col("b").isNull(),
         F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
     ).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.col("k")))
-    return picked.groupBy(*keys).agg(
+    filled = picked.groupBy(*keys).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]
         ).alias("q")
     )
+    empty = all_groups.filter(F.col("n") == 0).select(
+        *keys, F.lit(None).cast("array<double>").alias("q"))
+    return filled.unionByName(empty)
 
 
 def cut_small(df: DataFrame) -> DataFrame:
-    """A small intermediate result as a local relation, so that it is computed once."""
+    """An intermediate result that is computed once, whatever its size.
+
+    A sketch depends on the order in which it is merged: computed twice, the brackets of two
+    branches could differ.
+    """
     known = local_copy(df, SMALL_ROWS)
-    return df if known is None else known
+    return cut_lineage(df) if known is None else known
 
 
 def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
