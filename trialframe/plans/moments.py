@@ -1,9 +1,8 @@
 """Correlation and covariance of many columns.
 
-Few columns: built-in ``corr`` aggregates, all pairs in one pass.  Many columns: one Arrow
-pass in which each task multiplies its batches (counts, sums and cross products of all pairs
-at once) and sends one p × p summary on; the summaries are added by Spark.  Both are
-pairwise complete and move only p × p numbers.
+One Arrow pass for any number of columns: each task multiplies its batches, shifted by the
+means (counts, sums and cross products of all pairs at once), and sends one p × p summary on;
+Spark adds the summaries.  Pairwise complete; what moves is a summary per task, not rows.
 """
 
 from __future__ import annotations
@@ -16,41 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.columns import num
-from trialframe.functions.shape import correlation_of
 from trialframe.plans.onepass import fitted, per_variable
 
-SQL_COLUMNS = 24
 
-
-def correlations(df: DataFrame, cols: Sequence[str], strategy: str = "auto") -> DataFrame:
+def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(i, j, var1, var2, n, r) for all i < j in column order; r is null when undefined."""
-    if strategy == "auto":
-        strategy = "sql" if len(cols) <= SQL_COLUMNS else "arrow"
-    return _sql(df, cols) if strategy == "sql" else _arrow(df, cols)
-
-
-def _sql(df, cols):
-    rows = []
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            x, y = num(a), num(cols[j])
-            both = x.isNotNull() & y.isNotNull()
-            rows.append(
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.lit(j).alias("j"),
-                    F.lit(a).alias("var1"),
-                    F.lit(cols[j]).alias("var2"),
-                    F.count(F.when(both, 1)).alias("n"),
-                    correlation_of(x, y).alias("r"),
-                )
-            )
-    if not rows:
-        raise ValueError("correlation needs two columns")
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-
-
-def _arrow(df, cols):
     p = len(cols)
     if p < 2:
         raise ValueError("correlation needs two columns")
