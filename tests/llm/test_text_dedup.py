@@ -9,6 +9,7 @@ import pytest
 
 from trialframe.llm import jaccard, substring
 from trialframe.llm.fmindex import FMIndex
+from trialframe.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -147,3 +148,26 @@ def test_digest_of_kept_words(spark, docs_of, tmp_path):
     docs_of([(1, " a  b ", "", "")]).write.parquet(str(tmp_path / "documents.parquet"))
     row = op2_substring_dedup(spark, str(tmp_path)).first()
     assert row.kept_sha256 == hashlib.sha256(b"a b").hexdigest()
+
+
+@pytest.mark.parametrize("edges", [
+    [(i, i + 1) for i in range(400)] + [(900, 900), (901, 900), (900, 901), (None, 3)],
+    [(7, i) for i in range(8, 300)] + [(5, 299), (1000, 1001)],
+    [((i * 7919) % 500, (i * 104729 + 3) % 500) for i in range(300)],
+    [],
+])
+def test_components_are_brute_force(spark, edges):
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            ra, rb = find(a), find(b)
+            root[max(ra, rb)] = min(ra, rb)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = components(df).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((v, find(v)) for v in list(root))

@@ -217,7 +217,7 @@ def _link(sets: DataFrame, percent: int, fragments: int, round_pivots: int, bloc
         F.filter("grams", lambda g: (g["fragment"] == F.col("fragment")) & (g["n"] > 1))["gram"].alias("grams"))
 
     state = members.select("cid", "bin", F.col("cid").alias("root"), F.lit(False).alias("done"))
-    edges: DataFrame | None = None
+    linked: DataFrame | None = None
     while True:
         # A bin has work while its classes not yet done lie in more than one component.
         active = state.where("not done").groupBy("bin").agg(
@@ -231,8 +231,8 @@ def _link(sets: DataFrame, percent: int, fragments: int, round_pivots: int, bloc
             break
         found = store(_compare(parts, members.join(chosen.select("bin").distinct(), "bin"),
                                chosen.select("cid"), percent), "links")
-        edges = found if edges is None else store(edges.unionByName(found), "links")
-        linked = components(edges)
+        linked = components(found if linked is None else found.unionByName(
+            linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
         state = store(
             members.select("cid", "bin").join(linked.select(F.col("node").alias("cid"), "root"), "cid", "left")
             .join(state.where("done").select("cid").unionByName(chosen.select("cid"))
