@@ -66,17 +66,34 @@ def test_kmeans_finds_blobs_and_counts(feats, blob):
     assert models[3].sizes.sum() == 150
 
 
-def test_small_and_large_ways_agree(feats):
+def test_models_of_every_world_are_settled(feats):
     wanted = [
         (3, kmeans.World()),
         (2, kmeans.World("bootstrap", 1, 0.8)),
         (2, kmeans.World("uniform", 0, 1.0, ((-1.0, 1.0),) * 3)),
     ]
-    small = kmeans.fit_models(feats, wanted, 2)
-    large = kmeans.fit_models(feats, wanted, 2, small_cells=0)
-    for a, b in zip(small, large):
-        assert a.inertia == pytest.approx(b.inertia)
-        assert np.sort(a.sizes) == pytest.approx(np.sort(b.sizes))
+    rows = feats.frame.select(kmeans.row_hash("id", 42).alias("h"), "x").collect()
+    h, x = np.array([r["h"] for r in rows]), np.array([r["x"] for r in rows])
+    for m in kmeans.fit_models(feats, wanted, 2):
+        seen, w = kmeans._view(m.world, x, h)
+        w = np.ones(len(seen)) if w is None else w
+        d = ((seen[:, None, :] - m.centers[None]) ** 2).sum(axis=2)
+        near = d.argmin(axis=1)
+        assert m.inertia == pytest.approx((d.min(axis=1) * w).sum())
+        assert m.sizes == pytest.approx(np.bincount(near, w, m.k))
+        means = np.array([np.average(seen[near == c], axis=0, weights=w[near == c]) for c in range(m.k)])
+        assert np.abs(means - m.centers).max() < 0.02
+
+
+def test_seeds_come_from_all_rows(spark):
+    """A far group of three rows among thousands is a seed, wherever it lies; few distinct rows do."""
+    df = spark.range(6_000).select("id", F.when(F.col("id") % 2_000 == 7, 1e6).otherwise(
+        F.col("id") % 10).cast("double").alias("x"))
+    _, models = kmeans.kmeans(prepare_features(df, "id", ["x"]), [2], n_init=1)
+    assert sorted(models[2].sizes) == [3, 5_997]
+    flat = spark.range(40).select("id", (F.col("id") % 2).cast("double").alias("x"))
+    _, models = kmeans.kmeans(prepare_features(flat, "id", ["x"]), [2, 5], n_init=2)
+    assert models[2].inertia == pytest.approx(0) and models[5].sizes.sum() == 40
 
 
 def test_hash_draws():

@@ -1,12 +1,13 @@
 """K-means for many k, restarts and replicates at the same time.
 
-Large tables: one pass over the data advances every model.  A task assigns its batches for
-all models by matrix products and sends on (weight, cost, sum of x) per model and cluster;
-Spark adds these, and the driver gets models × k × p numbers.  So ten restarts of five values
-of k, or the hundreds of fits of a gap statistic, cost as many scans as the slowest of them.
+One pass over the data advances every model.  A task assigns its batches for all models by
+matrix products and sends on (weight, cost, sum of x) per model and cluster; Spark adds these,
+and the driver gets models × k × p numbers.  So ten restarts of five values of k, or the
+hundreds of fits of a gap statistic, cost as many scans as the slowest of them.
 
-Small tables (at most ``SMALL_CELLS`` values, checked): the table is broadcast and the models
-are spread over the tasks instead.  Both ways take the same steps.
+Seeds come from all rows (k-means||, Bahmani et al. 2012): a few passes draw candidates, each
+with a chance in proportion to its squared distance from those before, the last one counts the
+rows nearest to each, and every restart picks its centers among them by k-means++.
 
 Replicate data are never stored.  A row's weight in a bootstrap replicate (Poisson, the
 large-table form of drawing with replacement) and its stand-in in a uniform reference are
@@ -23,13 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trialframe.columns import col
 from trialframe.operators.features import Features
 from trialframe.plans.arrays import array_sum, square_distances, to_lists, to_matrix
 
-SEED_ROWS = 2_000
-SMALL_CELLS = 4_000_000
+#: Passes that draw seed candidates, and how many each draws per cluster of the largest k.
+SEED_ROUNDS = 4
+OVERSAMPLING = 2
+#: Groups in which the tasks' candidates are thinned before one task sees the rest.
+SEED_GROUPS = 64
 MAX_ITER = 300
 TOLERANCE = 1e-4
 
@@ -167,35 +172,74 @@ def _statistics(frame: DataFrame, models: Sequence[Model], which: Sequence[int],
     return out
 
 
-def _spread_seeds(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ seeding (Arthur and Vassilvitskii 2007) on a bounded sample."""
-    chosen = [sample[rng.integers(len(sample))]]
-    near = ((sample - chosen[0]) ** 2).sum(axis=1)
+def _drawn(frame: DataFrame, worlds: Sequence[World], have: dict[int, np.ndarray], many: int,
+           step: int, p: int) -> dict[int, np.ndarray]:
+    """``many`` more candidates per world, drawn without replacement with a chance by d².
+
+    A row's key is −log(u) / d², u from its hash; the smallest keys are the draw (Efraimidis and
+    Spirakis 2006).  A task sends its ``many`` smallest, so the draw needs one pass and no total.
+    """
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {i: (np.zeros(0), np.zeros((0, p))) for i in range(len(worlds))}
+        for batch in batches:
+            raw = to_matrix(batch.column(1), p)
+            h = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, world in enumerate(worlds):
+                x, w = _view(world, raw, h)
+                chance = np.ones(len(x)) if w is None else w
+                if len(have[i]):
+                    chance = chance * square_distances(x, have[i]).min(axis=1)
+                there = np.flatnonzero(chance > 1e-12)
+                u = unit(h[there], 15_485_863 + 4_096 * i + step)
+                key = np.concatenate([best[i][0], -np.log1p(-u) / chance[there]])
+                first = np.argsort(key, kind="stable")[:many]
+                best[i] = key[first], np.concatenate([best[i][1], x[there]])[first]
+        ids = np.concatenate([np.full(len(k), i) for i, (k, _) in best.items()])
+        keys, rows = (np.concatenate([b[j] for b in best.values()]) for j in range(2))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int32()), pa.array(keys, pa.float64()), to_lists(rows, pa.float64())],
+            names=["world", "key", "x"])
+
+    found = frame.mapInArrow(draw, "world int, key double, x array<double>").withColumn(
+        "g", F.spark_partition_id() % SEED_GROUPS)
+    for groups in (["world", "g"], ["world"]):
+        nth = F.row_number().over(Window.partitionBy(*groups).orderBy("key", "x"))
+        found = found.withColumn("nth", nth).filter(F.col("nth") <= many)
+    out = {i: list(c) for i, c in have.items()}
+    for r in found.select("world", "key", "x").orderBy("world", "key", "x").collect():
+        out[r["world"]].append(np.array(r["x"]))
+    return {i: np.array(c).reshape(-1, p) for i, c in out.items()}
+
+
+def _candidates(frame: DataFrame, worlds: Sequence[World], k: int, p: int):
+    """(candidates, rows nearest to each) of every world; at most 8 k of them, from all rows."""
+    have = {i: np.zeros((0, p)) for i in range(len(worlds))}
+    for step in range(SEED_ROUNDS):
+        have = _drawn(frame, worlds, have, OVERSAMPLING * k, step, p)
+    models = [Model(len(have[i]), world, have[i]) for i, world in enumerate(worlds)]
+    counts = _statistics(frame, models, [i for i in range(len(models)) if models[i].k], p)
+    return {world: (have[i], counts[i][0]) if i in counts else (np.zeros((1, p)), np.ones(1))
+            for i, world in enumerate(worlds)}
+
+
+def _spread_seeds(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ seeding (Arthur and Vassilvitskii 2007) among weighted candidates."""
+    def pick(mass: np.ndarray, many: int) -> np.ndarray:
+        mass = mass if mass.sum() > 0 else np.ones(len(x))
+        ends = np.cumsum(mass)
+        return np.minimum(np.searchsorted(ends, rng.random(many) * ends[-1], "right"), len(x) - 1)
+
+    chosen = [x[pick(weight, 1)[0]]]
+    near = ((x - chosen[0]) ** 2).sum(axis=1)
     for _ in range(1, k):
-        total = near.sum()
-        if total <= 0:
-            chosen.append(sample[rng.integers(len(sample))])
-            continue
-        tries = np.searchsorted(np.cumsum(near), rng.random(2 + int(math.log(k))) * total)
-        tries = np.minimum(tries, len(sample) - 1)
-        options = [np.minimum(near, ((sample - sample[t]) ** 2).sum(axis=1)) for t in tries]
-        best = int(np.argmin([o.sum() for o in options]))
-        chosen.append(sample[tries[best]])
+        tries = pick(near * weight, 2 + int(math.log(k)))
+        options = [np.minimum(near, ((x - x[t]) ** 2).sum(axis=1)) for t in tries]
+        best = int(np.argmin([(o * weight).sum() for o in options]))
+        chosen.append(x[tries[best]])
         near = options[best]
     return np.array(chosen)
 
 
-def _starts(world: World, k: int, x: np.ndarray, h: np.ndarray, number: int, n_init: int,
-            seed: int) -> list[np.ndarray]:
-    """Starting centers of every restart, from a bounded sample of the world."""
-    seen, w = _view(world, x, h)
-    if w is not None and (w > 0).sum() >= k:
-        seen = seen[w > 0]
-    return [
-        _spread_seeds(seen, k, np.random.default_rng([seed, number, r])) for r in range(n_init)
-    ]
-
-
 def _tolerance(world: World) -> float:
     """Allowed squared shift: relative to the variance of a (scaled or uniform) feature."""
     if world.kind != "uniform":
@@ -205,23 +249,17 @@ def _tolerance(world: World) -> float:
 
 def fit_models(
     feats: Features, wanted: Sequence[tuple[int, World]], n_init: int = 10, seed: int = 42,
-    max_iter: int = MAX_ITER, small_cells: int = SMALL_CELLS,
+    max_iter: int = MAX_ITER,
 ) -> list[Model]:
     """The best of ``n_init`` restarts for every (k, world), in the order of ``wanted``."""
     frame = feats.frame.select(row_hash(feats.id_col, seed).alias("h"), "x")
-    if feats.n * feats.width <= small_cells:
-        return _fit_small(frame, feats.width, wanted, n_init, seed, max_iter)
-    return _fit_large(frame, feats.width, wanted, n_init, seed, max_iter)
-
-
-def _fit_large(frame, p, wanted, n_init, seed, max_iter) -> list[Model]:
-    rows = frame.orderBy("h").limit(SEED_ROWS).collect()
-    x = np.array([r["x"] for r in rows], dtype="float64").reshape(-1, p)
-    h = np.array([r["h"] for r in rows], dtype="int64")
+    p = feats.width
+    worlds = list(dict.fromkeys(world for _, world in wanted))
+    seeds = _candidates(frame, worlds, max(k for k, _ in wanted), p)
     models = [
-        Model(k, world, start, r)
+        Model(k, world, _spread_seeds(*seeds[world], k, np.random.default_rng([seed, number, r])), r)
         for number, (k, world) in enumerate(wanted)
-        for r, start in enumerate(_starts(world, k, x, h, number, n_init, seed))
+        for r in range(n_init)
     ]
     active = list(range(len(models)))
     for _ in range(max_iter):
@@ -245,64 +283,6 @@ def _fit_large(frame, p, wanted, n_init, seed, max_iter) -> list[Model]:
     ]
 
 
-def _fit_small(frame, p, wanted, n_init, seed, max_iter) -> list[Model]:
-    """Models over tasks.  The table has at most SMALL_CELLS values and is broadcast."""
-    spark = frame.sparkSession
-    table = frame.orderBy("h").toArrow()
-    data = spark.sparkContext.broadcast(
-        (to_matrix(table.column("x"), p), table.column("h").to_numpy())
-    )
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, h = data.value
-        for batch in batches:
-            for number in batch.column(0).to_pylist():
-                k, world = wanted[number]
-                x, w = _view(world, raw, h)
-                if w is not None:
-                    x, w = x[w > 0], w[w > 0]
-                best = None
-                for start in _starts(world, k, raw[:SEED_ROWS], h[:SEED_ROWS], number, n_init,
-                                     seed):
-                    centers = start
-                    for _ in range(max_iter):
-                        weight, _, total = _step(x, w, centers)
-                        moved = _moved(centers, weight, total)
-                        shift = float(((moved - centers) ** 2).sum())
-                        centers = moved
-                        if shift <= _tolerance(world):
-                            break
-                    weight, cost, total = _step(x, w, centers)
-                    if best is None or cost.sum() < best[1].sum():
-                        best = (weight, cost, _moved(centers, weight, total), centers)
-                weight, cost, means, centers = best
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number], pa.int32()),
-                        pa.array([float(cost.sum())], pa.float64()),
-                        *[to_lists(v.reshape(1, -1), pa.float64())
-                          for v in (weight, means, centers)],
-                    ],
-                    names=["number", "inertia", "sizes", "means", "centers"],
-                )
-
-    tasks = spark.range(0, len(wanted), 1, min(len(wanted), 4_096))
-    rows = tasks.mapInArrow(
-        train,
-        "number int, inertia double, sizes array<double>, means array<double>, "
-        "centers array<double>",
-    ).collect()
-    out: list[Model | None] = [None] * len(wanted)
-    for r in rows:
-        k, world = wanted[r["number"]]
-        out[r["number"]] = Model(
-            k, world, np.array(r["centers"]).reshape(k, p), 0, True, r["inertia"],
-            np.array(r["sizes"]), np.array(r["means"]).reshape(k, p),
-        )
-    data.unpersist()
-    return out
-
-
 def labels_udf(models: Sequence[Model], p: int):
     """x → array<int> with the nearest center of every model."""
     centers = [m.centers for m in models]
