@@ -233,9 +233,8 @@ def box_stats(spark, sf):
     ),
 )
 def quantiles_by_bracket(spark, sf):
-    """The path for tables that are too large for one buffer per group."""
     rows = exact_quantiles(
-        lineitem(spark, sf), MEASURES, [0.05, 0.25, 0.5, 0.95], ["l_returnflag"], "bracket"
+        lineitem(spark, sf), MEASURES, [0.05, 0.25, 0.5, 0.95], ["l_returnflag"]
     )
     return rounded(rows.select(
         "l_returnflag", "variable",

@@ -164,8 +164,7 @@ def test_dictionary_summary(dictionary):
 # ------------------------------------------------------------ quantiles and moments
 
 
-@pytest.mark.parametrize("strategy", ["builtin", "bracket"])
-def test_quantiles_match_numpy(spark, strategy):
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({
         "g": rng.choice(["a", "b", None], 5_000),
@@ -174,12 +173,12 @@ def test_quantiles_match_numpy(spark, strategy):
     })
     df = tf.nan_to_null(spark.createDataFrame(pdf)).repartition(7)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    rows = exact_quantiles(df, ["x", "y", "z"], probs, [], strategy).collect()
+    rows = exact_quantiles(df, ["x", "y", "z"], probs).collect()
     assert len(rows) == 3
     for r in rows:
         want = np.percentile(pdf[r["variable"]].dropna(), [100 * p for p in probs])
         assert r["q"] == pytest.approx(want)
-    for r in exact_quantiles(df.filter("g is not null"), ["x", "z"], [0.5], ["g"], strategy).collect():
+    for r in exact_quantiles(df.filter("g is not null"), ["x", "z"], [0.5], ["g"]).collect():
         want = pdf[pdf["g"] == r["g"]][r["variable"]].median()
         assert r["q"][0] == pytest.approx(want)
 
@@ -194,7 +193,7 @@ def test_bracket_beyond_the_sketch(spark, monkeypatch):
     x = np.concatenate([np.full(6_000, 3.0), rng.exponential(size=9_000), rng.normal(50, 1, 3_000)])
     df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(5)
     probs = [0.01, 0.25, 0.5, 0.75, 0.83, 0.99]
-    got = exact_quantiles(df, ["x"], probs, [], "bracket").first()["q"]
+    got = exact_quantiles(df, ["x"], probs).first()["q"]
     assert got == pytest.approx(np.percentile(x, [100 * p for p in probs]))
 
 

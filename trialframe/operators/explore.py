@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialframe.columns import col, num, resolve_columns
 from trialframe.functions.shape import kurtosis_corrected, ratio, skew_corrected
 from trialframe.plans.joins import join_keyed
+from trialframe.plans.lineage import written
 from trialframe.plans.onepass import fitted, long_form, long_strings, per_variable
 from trialframe.plans.quantiles import exact_quantiles, medians
 
@@ -166,9 +167,9 @@ def box_stats(df: DataFrame, cols, by: Sequence[str] = ()) -> DataFrame:
         F.col("q")[2].alias("q3"),
     )
     iqr = F.col("q3") - F.col("q1")
-    fences = quartiles.withColumn("low_fence", F.col("q1") - 1.5 * iqr).withColumn(
+    fences = written(quartiles.withColumn("low_fence", F.col("q1") - 1.5 * iqr).withColumn(
         "high_fence", F.col("q3") + 1.5 * iqr
-    )
+    ))
     cells = join_keyed(long_form(df, cols, by), fences, [*by, "variable"])
     v = F.col("value")
     inside = (v >= F.col("low_fence")) & (v <= F.col("high_fence"))

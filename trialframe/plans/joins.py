@@ -9,40 +9,21 @@ from pyspark.sql import functions as F
 
 from trialframe.columns import col
 
-BROADCAST_ROWS = 20_000
-SALTS = 64
-
-
-def local_copy(df: DataFrame, rows: int) -> DataFrame | None:
-    """The table as a local relation if it has at most ``rows`` rows, else None."""
-    got = df.limit(rows + 1).collect()
-    return df.sparkSession.createDataFrame(got, df.schema) if len(got) <= rows else None
-
 
 def join_keyed(
-    large: DataFrame, keyed: DataFrame, names: Sequence[str], how: str = "inner",
-    rows: int | None = None,
+    large: DataFrame, keyed: DataFrame, names: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join on ``names`` (null keys match each other) without sorting a hot key in one task.
+    """Join on ``names``; null keys match each other.
 
-    A keyed table of at most ``rows`` rows, which is counted and not guessed, is broadcast: the
-    large side is not shuffled.  A longer one is copied once per salt and the rows of the
-    large side are dealt to the salts, so that a key with a third of all rows is spread out.
+    Spark picks the way by the sizes that it knows or measures: a small keyed table is broadcast,
+    otherwise adaptive execution splits a key that has a large share of the rows.
     """
-    limit = BROADCAST_ROWS if rows is None else rows
-    known = local_copy(keyed, limit)
-    right = keyed if known is None else known
-    rest = [c for c in right.columns if c not in names]
-    right = right.select(
+    rest = [c for c in keyed.columns if c not in names]
+    right = keyed.select(
         *[col(c).alias(f"__k{i}") for i, c in enumerate(names)], *[col(c) for c in rest]
     )
     on = F.lit(True)
     for i, c in enumerate(names):
         on = on & col(c).eqNullSafe(F.col(f"__k{i}"))
-    if known is not None:
-        joined = large.join(F.broadcast(right), on, how)
-    else:
-        salted = right.withColumn("__s2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = large.withColumn("__s1", (F.monotonically_increasing_id() % SALTS).cast("int"))
-        joined = dealt.join(salted, on & (F.col("__s1") == F.col("__s2")), how)
-    return joined.select(*[col(c) for c in large.columns], *[col(c) for c in rest])
+    return large.join(right, on, how).select(
+        *[col(c) for c in large.columns], *[col(c) for c in rest])

@@ -77,11 +77,3 @@ def long_strings(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -
 def fitted(rows: DataFrame) -> dict[str, dict]:
     """Collect one parameter row per variable (bounded by the number of columns)."""
     return {r["variable"]: r.asDict() for r in rows.collect()}
-
-
-def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a DataFrame (no job is run); None in a session without a JVM."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,11 +1,11 @@
 """Exact, linearly interpolated quantiles at any scale.
 
 The built-in ``percentile`` is exact, but its buffer holds every distinct value of a group
-in one task.  That is right for small inputs and is used there.  Larger inputs are solved
-by bracketing, with nothing but small tables moving:
+in one task.  Ranks are bracketed instead, with nothing but small tables moving:
 
 1. ``percentile_approx`` gives, for every wanted rank, two values that are sure to enclose
-   it (the sketch has a guaranteed rank error);
+   it (the sketch has a guaranteed rank error).  A sketch depends on the order in which it is
+   merged, so the brackets are written once and read by both scans that follow;
 2. one scan counts what lies below each bracket and fills ``CELLS`` equal-width cells in it;
 3. one scan keeps only the values in the cells where the wanted ranks fall, collapsed to
    (value, count); a window over these few rows finds the exact order statistics.
@@ -21,15 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.columns import col
-from trialframe.plans.joins import join_keyed, local_copy
-from trialframe.plans.lineage import cut_lineage
-from trialframe.plans.onepass import long_form, per_variable, plan_bytes
+from trialframe.plans.joins import join_keyed
+from trialframe.plans.lineage import written
+from trialframe.plans.onepass import long_form, per_variable
 
-SMALL_BYTES = 64 << 20
 ACCURACY = 20_000
 CELLS = 1_000
-SMALL_ROWS = 100_000
-FEW_ROWS = 20_000
 
 
 def exact_quantiles(
@@ -37,31 +34,12 @@ def exact_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    strategy: str = "auto",
 ) -> DataFrame:
     """(by…, variable, q array<double>), one entry of ``q`` per probability.
 
-    ``strategy``: ``builtin``, ``bracket`` or ``auto`` (by the estimated input size).
     A variable without values gives null.
     """
-    if strategy == "auto":
-        strategy = "builtin" if _is_small(df.select(*[col(c) for c in [*by, *cols]])) else "bracket"
-    if strategy == "builtin":
-        grid = F.array(*[F.lit(float(p)) for p in probs])
-        rows = per_variable(df, cols, {"q": lambda c: F.percentile(c, grid)}, by)
-        return rows.drop("position")
-    return _bracketed(df, cols, [float(p) for p in probs], list(by))
-
-
-def _is_small(df: DataFrame) -> bool:
-    """By Catalyst's estimate; where that is unknown or a product of guesses, by looking."""
-    size = plan_bytes(df)
-    if size is not None and size <= SMALL_BYTES:
-        return True
-    return len(df.select(F.lit(1)).take(FEW_ROWS + 1)) <= FEW_ROWS
-
-
-def _bracketed(df, cols, probs, by):
+    by, probs = list(by), [float(p) for p in probs]
     keys = [*[col(b) for b in by], F.col("variable")]
     names = [*by, "variable"]
     long = long_form(df, cols, by)
@@ -69,7 +47,7 @@ def _bracketed(df, cols, probs, by):
     edges = [e for p in probs for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
     # One plain aggregation, also for groups without values: they keep a row, with null quantiles.
     grid = F.array(*[F.lit(e) for e in edges])
-    all_groups = cut_small(per_variable(df, cols, {
+    all_groups = written(per_variable(df, cols, {
         "n": F.count, "vmin": F.min, "vmax": F.max,
         "e": lambda c: F.percentile_approx(c, grid, ACCURACY),
     }, by).drop("position"))
@@ -107,14 +85,14 @@ def _bracketed(df, cols, probs, by):
         .filter(F.col("value") <= F.col("hi"))
         .withColumn("cell", F.when(F.col("value") < F.col("lo"), -1).otherwise(cell).cast("int"))
     )
-    counted = cut_small(placed.groupBy(*keys, "i", "cell").agg(F.count("*").alias("m")))
+    counted = placed.groupBy(*keys, "i", "cell").agg(F.count("*").alias("m"))
     w = Window.partitionBy(*keys, "i").orderBy("cell")
     cumulated = counted.withColumn("upto", F.sum("m").over(w)).withColumn(
         "before", F.col("upto") - F.col("m")
     )
     ranks = brackets.select(*keys, "i", "k", "n", "pos")
     # The cells in which rank k or k + 1 falls.
-    hit = (
+    hit = written(
         join_keyed(cumulated, ranks, [*names, "i"])
         .filter((F.col("before") <= F.least(F.col("k") + 1, F.col("n") - 1))
                 & (F.col("upto") > F.col("k")))
@@ -150,16 +128,6 @@ def _bracketed(df, cols, probs, by):
     return filled.unionByName(empty)
 
 
-def cut_small(df: DataFrame) -> DataFrame:
-    """An intermediate result that is computed once, whatever its size.
-
-    A sketch depends on the order in which it is merged: computed twice, the brackets of two
-    branches could differ.
-    """
-    known = local_copy(df, SMALL_ROWS)
-    return cut_lineage(df) if known is None else known
-
-
 def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by…, variable, median)."""
     rows = exact_quantiles(df, cols, [0.5], by)
