@@ -111,6 +111,20 @@ WORDS = """words AS (SELECT DISTINCT variable FROM (SELECT
   WHERE length(variable) > 0)"""
 
 
+def visits(spark, sf) -> DataFrame:
+    """Part names as variables measured at visits: name.day, name_M<month>."""
+    p = table(spark, sf, "part")
+    size = F.col("p_size").cast("int")
+    day = F.concat_ws(".", "p_name", (size % 12).cast("string"))
+    month = F.concat("p_name", F.lit("_M"), (size % 5).cast("string"))
+    return p.select(day.alias("variable")).union(p.select(month.alias("variable"))).distinct()
+
+
+VISITS = """visits AS (SELECT p_name || '.' || CAST(CAST(p_size AS INTEGER) % 12 AS VARCHAR) AS
+  variable FROM part UNION SELECT p_name || '_M' || CAST(CAST(p_size AS INTEGER) % 5 AS VARCHAR)
+  FROM part)"""
+
+
 def vectors(spark, sf) -> DataFrame:
     """Embeddings as feature vectors with three given labelings."""
     return table(spark, sf, "embeddings").select(

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from suite.inputs import (
-    DICTIONARY, LINEITEM, MEASURES, PARTS, WORDS, dictionary, lineitem, parts, rd, rounded, table,
-    union, words,
+    DICTIONARY, LINEITEM, MEASURES, PARTS, VISITS, WORDS, dictionary, lineitem, parts, rd, rounded,
+    table, union, visits, words,
 )
 from trialframe.operators import explore, impute, missing, quality, reduce, screen
+from trialframe.plans.lineage import shared_folder
 from trialframe.plans.moments import correlations
 from trialframe.plans.quantiles import exact_quantiles
 from trialframe.sources import dictionary as names
+from trialframe.sources import tables
 
 QUERIES, ORACLES = {}, {}
 
@@ -285,6 +289,61 @@ def outcome_variables(spark, sf):
     return names.outcome_variables(words(spark, sf))
 
 
+_VISIT_CASES = _CASES.replace("FROM words", "FROM visits").replace(
+    "contains(variable", "contains(lower(variable)")
+
+
+@query("visit_categories", f"WITH {VISITS}, c AS ({_VISIT_CASES}) "
+       "SELECT category, count(*) AS n_variables FROM c GROUP BY category")
+def visit_categories(spark, sf):
+    return names.category_sizes(names.categorize(visits(spark, sf)))
+
+
+def _marked_sql(categories: list[str], marks: list[str]) -> str:
+    return f"WITH {VISITS} SELECT variable FROM visits WHERE " + " OR ".join(
+        [f"contains(lower(variable), '{m}')" for c in categories for m in names.CATEGORY_PATTERNS[c]]
+        + [f"contains(variable, '{m}')" for m in marks])
+
+
+@query("baseline_variables", _marked_sql(["baseline", "demographic"], names.BASELINE_MARKS))
+def baseline_variables(spark, sf):
+    return names.baseline_variables(visits(spark, sf))
+
+
+@query("visit_outcomes", _marked_sql(["outcome"], names.OUTCOME_MARKS))
+def visit_outcomes(spark, sf):
+    return names.outcome_variables(visits(spark, sf))
+
+
+_KINDS_OF = {"amount": ["quantity"], "money": ["price", "tax", "discount"], "code": ["flag", "status"]}
+_KIND_CASES = " UNION ALL ".join(
+    f"SELECT '{c}' AS category, variable FROM m WHERE "
+    + " OR ".join(f"contains(variable, '{x}')" for x in marks) for c, marks in _KINDS_OF.items())
+
+
+@query(
+    "missing_by_category",
+    MISSING_SQL + f", c AS ({_KIND_CASES}) SELECT category, variable, missing_values, "
+    f"{rd('percentage')} AS percentage FROM c JOIN m USING (variable) WHERE missing_values > 0",
+)
+def missing_by_category(spark, sf):
+    report = missing.missing_report(lineitem(spark, sf).select(*KINDS))
+    kinds = names.categorize(report, _KINDS_OF)
+    return rounded(missing.missing_by_category(kinds, report).select(
+        "category", "variable", "missing_values", "percentage"))
+
+
+@query(
+    "save_and_load",
+    f"WITH {PARTS} SELECT p_partkey, {rd('p_size')} AS p_size, {rd('avg_qty')} AS avg_qty FROM pa",
+)
+def save_and_load(spark, sf):
+    """Some columns written to the shared folder and read back as a study."""
+    path = f"{shared_folder(spark)}/study-{uuid.uuid4().hex}"
+    tables.save_table(parts(spark, sf), path, columns=["p_partkey", "p_size", "avg_qty"])
+    return rounded(tables.load_study(spark, path)[0])
+
+
 def _asked(spark, sf):
     """Names to look up: full names, other case, parts of names, and unknown ones."""
     d = dictionary(spark, sf)
@@ -434,6 +493,38 @@ def imputation_summary(spark, sf):
         lineitem(spark, sf), _imputed(spark, sf, "mean"), MEASURES)
 
 
+@query(
+    "imputed_variables",
+    f"WITH {LINEITEM} SELECT * FROM (" + union(
+        MEASURES, "SELECT '{v}' AS variable, count(*) - count({v}) AS missing_before, "
+        "count(*) - count({v}) AS filled, CAST(0 AS BIGINT) AS remaining FROM li")
+    + ") WHERE filled > 0",
+)
+def imputed_variables(spark, sf):
+    return impute.imputed_variables(lineitem(spark, sf), _imputed(spark, sf, "mean"), MEASURES)
+
+
+def _summary_sql(stage: str, value: str) -> str:
+    return union(
+        MEASURES, f"SELECT '{stage}' AS stage, '{{v}}' AS variable, count({value}) AS n, "
+        + ", ".join(f"{rd(e.replace('#', value), 4)} AS {n}" for n, e in {
+            "mean": "avg(#)", "median": "median(#)", "std": "stddev_samp(#)", "min": "min(#)",
+            "max": "max(#)"}.items())
+        + f", count(*) - count({value}) AS missing, "
+        + rd(f"(count(*) - count({value})) * 100.0 / count(*)", 4) + " AS missing_pct FROM li, m")
+
+
+@query(
+    "imputation_before_after",
+    f"WITH {LINEITEM}, m AS (SELECT " + ", ".join(f"avg({v}) AS m_{v}" for v in MEASURES)
+    + " FROM li) " + _summary_sql("before", "{v}") + " UNION ALL "
+    + _summary_sql("after", "coalesce({v}, m_{v})"),
+)
+def imputation_before_after(spark, sf):
+    return rounded(impute.before_after(
+        lineitem(spark, sf), _imputed(spark, sf, "mean"), MEASURES), 4)
+
+
 _STATUS = (
     f"WITH {LINEITEM}, m AS (SELECT " + ", ".join(f"median({v}) AS m_{v}" for v in MEASURES)
     + " FROM li), st AS (" + union(
@@ -564,6 +655,12 @@ def vif(spark, sf):
     return rounded(screen.vif(_screened(spark, sf), SCREEN), 3)
 
 
+@query("high_vif", _SCREEN_SQL + f" SELECT variable, {rd('vif', 3)} AS vif FROM v WHERE vif > 2 "
+       "ORDER BY v.vif DESC, variable LIMIT 20")
+def high_vif(spark, sf):
+    return rounded(screen.high_vif(screen.vif(_screened(spark, sf), SCREEN), 2.0), 3)
+
+
 _PAIR_SQL = ", p AS (" + " UNION ALL ".join(
     f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS r FROM sc"
     for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "gross"),
@@ -622,6 +719,20 @@ def recommend_variables(spark, sf):
     return decisions.withColumn("reasons", F.array_join("reasons", "|"))
 
 
+_FIRST_KIND = "CASE " + " ".join(
+    "WHEN " + " OR ".join(f"contains(variable, '{x}')" for x in marks) + f" THEN '{c}'"
+    for c, marks in _KINDS_OF.items()) + " ELSE 'uncategorized' END"
+
+
+@query(
+    "recommended_by_category",
+    ORACLES["recommend_variables"].replace("SELECT variable, (NOT n", f"SELECT {_FIRST_KIND} AS "
+    "category, variable FROM (SELECT variable, (NOT n", 1) + ") WHERE recommended",
+)
+def recommended_by_category(spark, sf):
+    return screen.recommended_by_category(recommend_variables(spark, sf), _KINDS_OF)
+
+
 @query(
     "ols_trend",
     f"WITH {LINEITEM} SELECT CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, "
@@ -833,6 +944,32 @@ def standardize_minmax(spark, sf):
     return _standard(spark, sf, "minmax")
 
 
+def _details_sql(method: str, center: str, scale: str) -> str:
+    return f"WITH {LINEITEM} " + union(
+        MEASURES, f"SELECT '{{v}}' AS variable, '{method}' AS method, "
+        f"{rd(center, 5)} AS center, {rd(scale, 5)} AS scale FROM li")
+
+
+def _details(spark, sf, method):
+    return rounded(quality.standardize(lineitem(spark, sf), method, MEASURES)[1].drop("formula"), 5)
+
+
+@query("zscore_details", _details_sql("zscore", "avg({v})", "stddev_pop({v})"))
+def zscore_details(spark, sf):
+    return _details(spark, sf, "zscore")
+
+
+@query("robust_details", _details_sql(
+    "robust", "median({v})", "quantile_cont({v}, 0.75) - quantile_cont({v}, 0.25)"))
+def robust_details(spark, sf):
+    return _details(spark, sf, "robust")
+
+
+@query("minmax_details", _details_sql("minmax", "min({v})", "max({v}) - min({v})"))
+def minmax_details(spark, sf):
+    return _details(spark, sf, "minmax")
+
+
 # ---------------------------------------------------------------- reduction
 
 # Two standardised columns with correlation r have components (z1 ± z2) / √2 with shares
