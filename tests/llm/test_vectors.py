@@ -56,6 +56,21 @@ def test_graph_of_three_layers_finds_neighbours():
     assert (ids[:, 0] == np.arange(200)).all()
 
 
+def test_links_of_a_graph_that_lost_nodes():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 16))
+    x[1::50] = x[::50] + rng.normal(scale=0.05, size=(30, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, uid = hnsw.Graph(x.astype(np.float32)), np.arange(1500)
+    for links in graph.links:
+        links[(links >= 0) & (links % 50 == 1)] = -1
+    ids, _ = graph.near(x[::50].astype(np.float32), 32)
+    assert not (ids == np.arange(1, 1500, 50)[:, None]).any()  # beams alone miss these links
+    a, b = hnsw._matches(graph, x, uid, x, uid, 0.9, 32, 8, 0.99)
+    want = np.argwhere((x @ x.T >= 0.9) & ~np.eye(1500, dtype=bool))
+    assert sorted(zip(a.tolist(), b.tolist())) == [tuple(w) for w in want.tolist()]
+
+
 def test_near_duplicates_edges(spark):
     assert hnsw.near_duplicates(frame(spark, [])).count() == 0
     got = hnsw.near_duplicates(frame(spark, [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [1.0, 0.0])])).collect()

@@ -2,7 +2,8 @@
 
 Equal vectors are one unit.  Units are dealt to shards, each shard builds a graph, and every
 block of units queries every shard.  A beam is widened while all it holds are links, and a
-whole block's beams until a recall audit against all of the shard passes.  Links are verified
+whole block's beams until a recall audit against all of the shard passes for every class of
+group sizes; what no beam finds is scored by matrix products.  Links are verified
 by cosine in double precision; what leaves a task is a count per unit and a spanning forest.
 """
 
@@ -181,29 +182,90 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _links(graph: Graph, exact: np.ndarray, q: np.ndarray, t: float, ef: int,
-           widest: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) with cosine of at least ``t``, widening beams that are full of links."""
+def _exact(near: np.ndarray, exact: np.ndarray, q: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, node) with cosine of at least ``t``: matrix products in blocks, verified."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i in range(0, len(q), SEED):
+        part = q[i:i + SEED].astype(np.float32)
+        for j in range(0, len(exact), 16_384):
+            a, node = np.nonzero(part @ near[j:j + 16_384].T >= t - 1e-4)
+            a, node = a + i, node + j
+            sure = np.concatenate([np.zeros(0, bool)] + [
+                np.einsum("ij,ij->i", q[a[k:k + 65_536]], exact[node[k:k + 65_536]]) >= t
+                for k in range(0, len(a), 65_536)])
+            out.append((a[sure], node[sure]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _links(graph: Graph, exact: np.ndarray, q: np.ndarray, t: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) with cosine of at least ``t``, widening beams that are full of links.
+
+    A beam with empty places has run out of reachable nodes; it and one that would have to hold
+    an eighth of the shard are replaced by exact scores.
+    """
     n = len(exact)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     step = max(16, min(SEED, (1 << 24) // max(1, n)))
-    todo, width = np.arange(len(q)), ef
-    while len(todo):
-        width = min(width, n)
+    todo, width, rest = np.arange(len(q)), ef, []
+    while len(todo) and 8 * width < n:
         again = []
         for i in range(0, len(todo), step):
             part = todo[i:i + step]
             ids, sims = graph.near(q[part].astype(np.float32), width)
+            short = (ids < 0).any(1)
             hit = (sims >= t - 1e-4) & (ids >= 0)
-            full = hit.all(1) & (width < n)
-            again.append(part[full])
-            a, k = np.nonzero(hit & ~full[:, None])
+            full = hit.all(1)
+            rest.append(part[short])
+            again.append(part[full & ~short])
+            a, k = np.nonzero(hit & ~(full | short)[:, None])
             node = ids[a, k]
             sure = np.einsum("ij,ij->i", q[part[a]], exact[node]) >= t
             out.append((part[a][sure], node[sure]))
-        widest[0] = max(widest[0], width)
         todo, width = np.concatenate(again), 2 * width
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 2
+    rest = np.concatenate([*rest, todo])
+    a, b = _exact(graph.x, exact, q[rest], t)
+    out.append((rest[a], b))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _matches(graph: Graph, exact: np.ndarray, uid: np.ndarray, q: np.ndarray, own: np.ndarray, t: float,
+             ef: int, audits: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) linked in a shard, without a query's own node, by an audited graph.
+
+    Queries are scored exactly, in the order of a hash, until ``audits`` with 1 to 3 links and as
+    many of every other class seen (by powers of two of the links) are known; if there are not so
+    many, that is all of them.  The others are searched with beams that find ``recall`` of the
+    links of the audited queries, each query counting alike, in every class; if none short of an
+    eighth of the shard does, they are scored exactly too.
+    """
+    def others(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = uid[b] != own[at[a]]
+        return at[a[keep]], b[keep]
+
+    order = np.argsort(mix(own.view(np.uint64) ^ np.uint64(uid[0])), kind="stable")
+    out, done, links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, np.zeros(len(q), np.int64)
+    while done < len(order):
+        at = order[done:done + SEED]
+        out.append(others(*_exact(graph.x, exact, q[at], t)))
+        links += np.bincount(out[-1][0], minlength=len(q))
+        done += len(at)
+        size = np.maximum(1, np.log2(np.maximum(1, links)).astype(int))
+        seen = np.bincount(size[links > 0], minlength=2)
+        if seen[1] >= audits and (seen[seen > 0] >= audits).all():
+            break
+    if done < len(order):
+        audited = np.concatenate([np.flatnonzero((links > 0) & (size == c))[:audits] for c in np.flatnonzero(seen)])
+        width = ef
+        while 8 * width < len(exact):
+            at = audited
+            found = np.bincount(others(*_links(graph, exact, q[at], t, width))[0], minlength=len(q))
+            share = found[audited] / links[audited]
+            if all(share[size[audited] == c].mean() >= recall for c in np.flatnonzero(seen)):
+                break
+            width *= 2
+        at = order[done:]
+        out.append(others(*_links(graph, exact, q[at], t, width)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -262,8 +324,10 @@ def near_duplicates(
     kept only then.  Other columns are not used.
 
     A shard has about ``shard_rows`` units, or one of ``min_shards`` parts of all if fewer; a task holds
-    one shard and at most about ``block_rows`` queries.  ``audits`` queries per task are compared
-    with the whole shard, and beams doubled until ``recall`` of their links is found.
+    one shard and at most about ``block_rows`` queries.  Per task, ``audits`` queries of each class
+    of group sizes are compared with the whole shard, and beams doubled until ``recall`` of their
+    links to others is found; where there are too few such queries or no beam is wide enough, the
+    task is scored exactly.
     """
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     good = v.where(usable(F.col("v")))
@@ -288,18 +352,7 @@ def near_duplicates(
         graph.x, graph.links = x.astype(np.float32), links
         own = asked.column("uid").to_numpy()
         q = _unit(_matrix(asked.column("v"), x.shape[1]))
-        sample = np.argsort(mix(own.view(np.uint64) ^ np.uint64(uid[0])), kind="stable")[:audits]
-        truth = int(sum(((q[sample] @ x[i:i + 65536].T) >= threshold).sum() for i in range(0, len(x), 65536)))
-        width = ef
-        while True:
-            widest = [width]
-            a, _ = _links(graph, x, q[sample], threshold, width, widest)
-            if len(a) >= recall * truth or width >= len(x):
-                break
-            width *= 2
-        a, b = _links(graph, x, q, threshold, width, widest)
-        other = uid[b] != own[a]
-        a, b = a[other], b[other]
+        a, b = _matches(graph, x, uid, q, own, threshold, ef, audits, recall)
         count = np.bincount(a, copies[b], minlength=len(own)).astype(np.int64)
         forest = _forest(own[a], uid[b])
         has = np.flatnonzero(count)
