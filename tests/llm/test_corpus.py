@@ -68,6 +68,22 @@ def test_kneser_ney_sums_to_one(spark):
     assert np.allclose(np.exp(m.lookup(grams)).sum(0), 1, atol=1e-3)
 
 
+def test_every_gram_has_its_own_key(spark):
+    rng = np.random.default_rng(5)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyz漢字語文한글날\U00020000\U00020001"))
+    texts = ["".join(rng.choice(alphabet, 4000)) for _ in range(30)]
+    df = spark.createDataFrame([("xy"[i % 2], t) for i, t in enumerate(texts)], "lang string, text string")
+    m = langid.learn(df)
+    units = []
+    for t in texts:
+        raw = np.frombuffer(f" {t} ".encode("utf-16-le"), np.uint16).tolist()
+        units.append([0, 0, *(0 if u == 32 else u for u in raw)])
+    for k in range(1, 5):
+        want = {tuple(u[i - k + 1:i + 1]) for u in units for i in range(3, len(u))}
+        assert len(m.keys[k]) == len(want)
+        assert set(m.keys[k].tolist()) == {sum(c << 16 * (k - 1 - j) for j, c in enumerate(w)) for w in want}
+
+
 # quality ----------------------------------------------------------------------
 
 def test_quality_on_documents_kept_aside(spark, sf, documents):

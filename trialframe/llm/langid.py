@@ -1,10 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Grams of the highest order are counted over all learning texts; lower orders count the distinct
-grams that continue them.  Counts are summed in Spark.  A gram's key is a hash of ``bits`` bits,
-so that a model has at most ``2**bits`` keys per order and a proven size however much text it
-learns from; keys lie in sorted arrays, with the log probabilities of all languages side by
-side.  A text gets the language of the lowest cross-entropy per gram; a logistic temperature
+grams that continue them.  Counts are summed in Spark.  A gram's key is the gram itself, its
+UTF-16 units packed into 64 bits, so no two grams share an entry and the model grows with the
+distinct grams of what it learns from; keys lie in sorted arrays, with the log probabilities of
+all languages side by side.  A text gets the language of the lowest cross-entropy per gram; a logistic temperature
 and a per-language bound for rejection are calibrated over the learning texts.
 """
 
@@ -19,24 +19,23 @@ from pyspark.sql import functions as F
 
 from trialframe.llm.common import BLOCK, chunks, store
 
-#: Bits per character class in a packed gram; classes beyond the plain ones are hashed.
-CLASS = 12
-#: Shifts of the scrambling, which is the same in Spark and NumPy.
-SHIFTS = (13, 7, 17, 21, 35, 4)
+#: Bits per character class in a packed gram: a UTF-16 unit.  64 bits hold four.
+CLASS = 16
+#: Classes that probability is kept for if fewer are seen.
+CLASSES = 4096
 UNKNOWN = "und"
 
 _tables: dict[str, np.ndarray] = {}
 
 
 def _class_table() -> np.ndarray:
-    """Class of every code point: 0 for what is no letter, else of its lower-case form."""
+    """Of every code point 0 for what is no letter, else its lower-case form."""
     if "class" not in _tables:
-        out = np.zeros(0x110000, np.uint16)
+        out = np.zeros(0x110000, np.uint32)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
-                low = ord(c.lower()[0])
-                out[cp] = low if low < 2048 else 2048 + (low * 40503 >> 3) % 2048
+                out[cp] = ord(c.lower()[0])
         _tables["class"] = out
     return _tables["class"]
 
@@ -45,7 +44,8 @@ def packed_grams(texts: list[str | None], order: int) -> Iterator[tuple[np.ndarr
     """(grams, index of the text, number of texts in this range) in bounded pieces.
 
     Letters are lower-cased, every run of other characters is one blank, and blanks stand before
-    and after a text.  A gram packs its ``order`` classes, the last in the low bits.
+    and after a text.  A gram packs its ``order`` classes, the last in the low bits.  A letter
+    beyond 16 bits is two classes, its UTF-16 surrogates, which no other letter has.
     """
     table = _class_table()
     for i, j in chunks(texts):
@@ -59,8 +59,15 @@ def packed_grams(texts: list[str | None], order: int) -> Iterator[tuple[np.ndarr
             blank = cls == 0
             keep = ~(blank & np.concatenate(([before and at > 0], blank[:-1])))
             before = bool(blank[-1])
-            doc = np.searchsorted(starts, np.flatnonzero(keep) + at, "right") - 1
-            cls, doc = np.concatenate([tail, cls[keep]]), np.concatenate([tail_doc, doc])
+            doc, cls = np.searchsorted(starts, np.flatnonzero(keep) + at, "right") - 1, cls[keep]
+            wide = cls >> np.uint64(16) > 0
+            if wide.any():
+                times = 1 + wide
+                place, rest = (np.cumsum(times) - times)[wide], cls[wide] - np.uint64(0x10000)
+                cls, doc = np.repeat(cls, times), np.repeat(doc, times)
+                cls[place] = np.uint64(0xD800) + (rest >> np.uint64(10))
+                cls[place + 1] = np.uint64(0xDC00) + (rest & np.uint64(0x3FF))
+            cls, doc = np.concatenate([tail, cls]), np.concatenate([tail_doc, doc])
             m = len(cls) - order + 1
             if m > 0:
                 gram = np.zeros(m, np.uint64)
@@ -110,25 +117,11 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, limit: int = 1 << 20)
             yield from out(lang, *merged(parts))
 
 
-def hashed(gram: np.ndarray, bits: int) -> np.ndarray:
-    x = gram.astype(np.uint64)
-    for i, n in enumerate(SHIFTS):
-        x = x ^ ((x >> np.uint64(n)) if i % 2 else (x << np.uint64(n)))
-    return (x >> np.uint64(64 - bits)).astype(np.uint32)
-
-
-def hashed_column(gram: Column, bits: int) -> Column:
-    x = gram
-    for i, n in enumerate(SHIFTS):
-        x = x.bitwiseXOR(F.shiftrightunsigned(x, n) if i % 2 else F.shiftleft(x, n))
-    return F.shiftrightunsigned(x, 64 - bits)
-
-
 class Model:
-    """Sorted hash arrays per order: log probabilities of seen grams, log back-off weights."""
+    """Sorted arrays of grams per order: log probabilities of seen grams, log back-off weights."""
 
-    def __init__(self, langs: list[str], order: int, bits: int):
-        self.langs, self.order, self.bits = langs, order, bits
+    def __init__(self, langs: list[str], order: int):
+        self.langs, self.order = langs, order
         self.keys: dict[int, np.ndarray] = {}
         self.logp: dict[int, np.ndarray] = {}
         self.contexts: dict[int, np.ndarray] = {}
@@ -140,15 +133,14 @@ class Model:
         k = self.order if k is None else k
         if k == 0:
             return np.broadcast_to(self.floor, (len(gram), len(self.langs)))
-        key = hashed(gram, self.bits)
-        at = np.minimum(np.searchsorted(self.keys[k], key), max(0, len(self.keys[k]) - 1))
-        seen = self.keys[k][at] == key if len(self.keys[k]) else np.zeros(len(gram), bool)
+        at = np.minimum(np.searchsorted(self.keys[k], gram), max(0, len(self.keys[k]) - 1))
+        seen = self.keys[k][at] == gram if len(self.keys[k]) else np.zeros(len(gram), bool)
         out = self.logp[k][at] if len(self.keys[k]) else np.zeros((len(gram), len(self.langs)), np.float32)
         if not seen.all():
             rest = gram[~seen]
             low = self.lookup(rest & np.uint64((1 << (CLASS * (k - 1))) - 1), k - 1).copy()
             if len(self.contexts[k]):
-                key = hashed((rest >> np.uint64(CLASS)) | np.uint64(1 << 63), self.bits)
+                key = rest >> np.uint64(CLASS)
                 at = np.minimum(np.searchsorted(self.contexts[k], key), len(self.contexts[k]) - 1)
                 hit = self.contexts[k][at] == key
                 low[hit] += self.backoff[k][at[hit]]
@@ -166,18 +158,20 @@ class Model:
         return total / np.maximum(1, n)[:, None], n
 
 
-def learn(texts: DataFrame, order: int = 4, bits: int = 20) -> Model:
+def learn(texts: DataFrame, order: int = 4) -> Model:
     """A model of ``texts`` (lang, text); rows with a null in either are left out.
 
-    The driver receives the counts by hashed gram: at most ``2**bits`` rows per order with one
-    count per language, never the texts.  Hash collisions share an entry.
+    The driver receives the counts by gram: a row per distinct gram and order with one count per
+    language, never the texts.
     """
+    if not 1 <= order <= 64 // CLASS:
+        raise ValueError(f"order must be 1 to {64 // CLASS}")
     spark = texts.sparkSession
     raw = texts.where("lang is not null and text is not null").select("lang", "text").mapInArrow(
         lambda b: _count(b, order), "lang string, gram long, n long")
     grams = store(raw.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     langs = [r[0] for r in grams.select("lang").distinct().orderBy("lang").collect()]
-    model = Model(langs, order, bits)
+    model = Model(langs, order)
     if not langs:
         return model
     levels, level = {order: grams}, grams
@@ -185,20 +179,17 @@ def learn(texts: DataFrame, order: int = 4, bits: int = 20) -> Model:
         low = F.col("gram").bitwiseAND(F.lit((1 << (CLASS * k)) - 1))
         level = level.groupBy("lang", low.alias("gram")).agg(F.count("*").alias("n"))
         levels[k] = level
-    key = hashed_column(F.col("gram"), bits)
     spark_langs = [F.lit(x) for x in langs]
-    probs = np.full((1, len(langs)), 1.0 / 4096)
-    model.floor = np.log(probs[0]).astype(np.float32)
     below_keys: np.ndarray | None = None
     for k in range(1, order + 1):
         sums = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}")
                 for i, x in enumerate(spark_langs)]
-        rows = levels[k].groupBy(key.alias("key")).agg(F.min("gram").alias("gram"), *sums).toArrow()
-        rows = rows.sort_by("key")
+        rows = levels[k].groupBy("gram").agg(*sums).toArrow()
         gram = rows.column("gram").to_numpy().view(np.uint64)
-        n = np.column_stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))]).astype(float)
-        context = hashed((gram >> np.uint64(CLASS)) | np.uint64(1 << 63), bits)
-        contexts, of = np.unique(context, return_inverse=True)
+        by_gram = np.argsort(gram)
+        gram = gram[by_gram]
+        n = np.column_stack([rows.column(f"n{i}").to_numpy()[by_gram] for i in range(len(langs))]).astype(float)
+        contexts, of = np.unique(gram >> np.uint64(CLASS), return_inverse=True)
         once, twice = (n == 1).sum(0), (n == 2).sum(0)
         discount = np.where(once > 0, once / np.maximum(1, once + 2 * twice), 0.5).clip(0.1, 0.95)
         mass, kinds = np.zeros((len(contexts), len(langs))), np.zeros((len(contexts), len(langs)))
@@ -206,12 +197,14 @@ def learn(texts: DataFrame, order: int = 4, bits: int = 20) -> Model:
         np.add.at(kinds, of, n > 0)
         weight = np.where(mass > 0, discount * kinds / np.maximum(1, mass), 1.0)
         if below_keys is None:
+            probs = np.full((1, len(langs)), 1.0 / max(CLASSES, len(gram) + 1))
+            model.floor = np.log(probs[0]).astype(np.float32)
             low = np.repeat(probs, len(gram), 0)
         else:
-            low_key = hashed(gram & np.uint64((1 << (CLASS * (k - 1))) - 1), bits)
+            low_key = gram & np.uint64((1 << (CLASS * (k - 1))) - 1)
             low = probs[np.searchsorted(below_keys, low_key)]
         probs = np.maximum(n - discount, 0) / np.maximum(1, mass[of]) + weight[of] * low
-        below_keys = rows.column("key").to_numpy().astype(np.uint32)
+        below_keys = gram
         model.keys[k], model.logp[k] = below_keys, np.log(np.maximum(probs, 1e-30)).astype(np.float32)
         model.contexts[k], model.backoff[k] = contexts, np.log(weight).astype(np.float32)
     return model
@@ -220,8 +213,7 @@ def learn(texts: DataFrame, order: int = 4, bits: int = 20) -> Model:
 BETAS = [2.0 ** (i / 2) for i in range(-6, 18)]
 
 
-def identify(docs: DataFrame, learnable: Column, order: int = 4, bits: int = 20,
-             spread: float = 4.0) -> DataFrame:
+def identify(docs: DataFrame, learnable: Column, order: int = 4, spread: float = 4.0) -> DataFrame:
     """doc_id, lang, text columns' verdicts: doc_id, learned, lang_pred, score, entropy, accepted.
 
     ``learnable`` marks the rows of ``docs`` (doc_id, text, lang) whose text and language may be
@@ -235,7 +227,7 @@ def identify(docs: DataFrame, learnable: Column, order: int = 4, bits: int = 20,
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang"),
                        F.coalesce(learnable, F.lit(False)).alias("learned"))
-    model = learn(rows.where("learned"), order, bits)
+    model = learn(rows.where("learned"), order)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
