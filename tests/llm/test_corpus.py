@@ -94,6 +94,34 @@ def test_quality_on_documents_kept_aside(spark, sf, documents):
     assert np.mean([got[r.doc_id] == bool(r.quality) for r in aside]) > 0.85
 
 
+def test_exchange_covers_all_unlabelled_documents(spark):
+    docs = spark.range(40_000).selectExpr(
+        "id as doc_id", "if(id % 2 = 0, 'a calm line of words ', '!!## 00 ') || id as text", "'en' as lang",
+        "if(id % 2 = 0, 'book', 'spam') as source", "if(id % 2 = 0, 30L, 12L) as n_chars")
+    labels = docs.where("doc_id < 400").selectExpr("doc_id", "cast(1 - doc_id % 2 as int) as quality")
+    model = quality.train(docs, labels)
+    share = int(39_600 * 0.02)
+    # Both views are sure of all; equal scores are drawn by a hash, and few rows twice wanted.
+    assert 5 * 2 * share * 0.9 < model.given < 5 * 2 * share * 1.1
+    assert model.given > 5 * 2 * int(12_000 * 0.02)  # all that a pool of 12 000 could give
+
+
+def test_refit_is_newton_over_all_rows(spark):
+    rng = np.random.default_rng(3)
+    xt, xm = (rng.normal(size=(300, n)).astype(np.float32) * 0.2 for n in (quality.TEXT_WIDTH, quality.META_WIDTH))
+    xt[:, -1] = xm[:, -1] = 1
+    y = (xt[:, 0] + xm[:, 0] + rng.normal(scale=0.2, size=300) > 0).astype(int)
+    by = rng.integers(0, 2, 300)
+    own = np.arange(300) < 80
+    given = spark.createDataFrame([(int(b), int(q), bytearray(a.tobytes()), bytearray(m.tobytes())) for b, q, a, m in
+                                   zip(by[~own], y[~own], xt[~own], xm[~own])], "by int, label int, xt binary, xm binary")
+    w = quality._refit([given], [xt[own], xm[own], y[own].astype(float)],
+                       [np.zeros(quality.TEXT_WIDTH), np.zeros(quality.META_WIDTH)])
+    for k, x in enumerate((xt, xm)):
+        rows = own | (by == 1 - k)
+        assert np.allclose(w[k], quality.fit_logistic(x[rows], y[rows].astype(float)), atol=1e-4)
+
+
 def test_quality_edges(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     docs = docs_of([(1, None, None, None), (1, "", "", ""), (None, "a", "en", "s")])
