@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialframe.llm import q01, q02, q03, q04, q05, q06, q07, q08, q09, q10
+from trialframe.llm import q01, q02, q03, q04, q05, q06, q07, q08, q09, q10, q13
 
 QUERIES = {
     "op1_language_id": q01.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": q08.op8_warc,
     "op9_hnsw_near_dedup": q09.op9_hnsw_near_dedup,
     "op10_url_reputation": q10.op10_url_reputation,
+    "op13_token_files": q13.op13_token_files,
 }
 ORACLES = {
     "op4_temperature_mixing": q04.ORACLE, "op8_warc": q08.ORACLE, "op10_url_reputation": q10.ORACLE,
