@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialframe.llm import q01, q02, q03, q04, q05, q06, q07, q08, q09, q10, q12, q13
+from trialframe.llm import q01, q02, q03, q04, q05, q06, q07, q08, q09, q10, q11, q12, q13
 
 QUERIES = {
     "op1_language_id": q01.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": q08.op8_warc,
     "op9_hnsw_near_dedup": q09.op9_hnsw_near_dedup,
     "op10_url_reputation": q10.op10_url_reputation,
+    "op11_conversation_repair": q11.op11_conversation_repair,
     "op12_whitening": q12.op12_whitening,
     "op13_token_files": q13.op13_token_files,
 }
