@@ -22,15 +22,19 @@ def test_words_give_the_ids_of_the_whole_text(own):
     rng = random.Random(3)
     bits = ["a", "B", "é", "e\u0301", "\u0301", "İ", "ß", "Σ", "'s", "'LL", "don't", "12", "٣", "漢字", "한", "\u1100\u1161",
             " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200d", "🙂", "!?", "--",
-            "<|endoftext|>", "<|startoftext|>", "<|", "\x00", "</w>", "ﬁ", "\u2126"]
+            "<|endoftext|>", "<|startoftext|>", "<|", "<|EndOfText|>", "<|startoftext|", "\u0338", "=", "'", "a'", "_", "~", "\x7f", "\x00", "\x01", "</w>", "ﬁ", "\u2126"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     code = tokenfiles.Encoder(WORD)
-    assert code.by_word and code.dtype == np.dtype("<u2")
+    assert code.in_parts and code.dtype == np.dtype("<u2")
     want = [own.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u2").tolist() for x in code.encode(texts)] == want
-    assert max(map(len, code.known)) <= tokenfiles.LONG_WORD
+    plain = [t.replace("<|", "") for t in texts]
+    want = [own.encode(t, add_special_tokens=False).ids for t in plain]
+    again = tokenfiles.Encoder(WORD)
+    assert [np.frombuffer(x, "<u2").tolist() for i in range(0, 3000, 7) for x in again.encode(plain[i:i + 7])] == want
+    assert max(map(len, code.young)) <= tokenfiles.LONG_PART
     plain = tokenfiles.Encoder(BYTE, 70_000)
-    assert not plain.by_word and plain.dtype == np.dtype("<u4")
+    assert not plain.in_parts and plain.dtype == np.dtype("<u4")
 
 
 def test_memory_of_words_is_bounded(own, monkeypatch):
@@ -39,6 +43,7 @@ def test_memory_of_words_is_bounded(own, monkeypatch):
     for text in ("a b c d", "e f g", "a h i j k l m n o", "a b"):
         got = np.frombuffer(code.encode([text])[0], "<u2").tolist()
         assert got == own.encode(text, add_special_tokens=False).ids
+        assert len(code.young) <= 5 and len(code.old) <= 12
 
 
 def test_every_document_comes_back(spark, sf, own, tmp_path):

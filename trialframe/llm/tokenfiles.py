@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,16 +26,25 @@ from pyspark.sql import functions as F
 
 from trialframe.llm.common import chunks, shared_folder
 
-#: Cuts at the blanks that every tokenizer pattern knows; others stay inside a word.
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words that a worker remembers, and the longest of them in characters.
-MEMORY, LONG_WORD = 1 << 18, 64
+#: Cuts at blanks, which every tokenizer pattern knows; others stay inside a word.
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Cuts also between an ASCII letter or digit and ASCII punctuation but for the apostrophe.
+_N, _P = rb"[a-z0-9]+", rb"[!-&(-/:-@\[-`{-~]+"
+_O = rb"[^\x20\x09-\x0Da-z0-9!-&(-/:-@\[-`{-~]+"
+PARTS = re.compile(rb"(?:%s|%s|%s(?:%s|%s)?)(?:%s(?:%s|%s)?)*" % (_N, _P, _O, _N, _P, _O, _N, _P))
+#: Parts of a generation that a worker remembers, and the longest of them in bytes.
+MEMORY, LONG_PART = 1 << 18, 64
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _parts_at_blanks(spec: dict) -> bool:
-    """Whether blanks only separate: no normaliser or pattern of the file looks across one."""
+def _cuts(spec: dict) -> bool:
+    """Whether parts can be encoded one by one, after folding A-Z.
+
+    The normaliser folds letters and works within runs of non-blanks; the pattern takes runs of
+    letters, single digits, runs of other characters, or contractions.  No match then goes across
+    a blank or from a letter or digit to punctuation, and none looks around itself.
+    """
     def listed(x: dict | None, key: str) -> list[dict]:
         return [] if x is None else x[key] if x["type"] == "Sequence" else [x]
 
@@ -44,7 +54,8 @@ def _parts_at_blanks(spec: dict) -> bool:
     runs = re.compile(r"('\w+|\[\\p\{L\}\]\+?|\[\\p\{N\}\]\+?|\[\^\\s\\p\{L\}\\p\{N\}\]\+)"
                       r"(\|('\w+|\[\\p\{L\}\]\+?|\[\\p\{N\}\]\+?|\[\^\\s\\p\{L\}\\p\{N\}\]\+))*")
     return (
-        all(n["type"] in ("NFC", "Lowercase") or (
+        any(n["type"] == "Lowercase" for n in normal)
+        and all(n["type"] in ("NFC", "Lowercase") or (
             n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " ")
             for n in normal)
         and len(split) == 2 and split[0]["type"] == "Split" and split[0]["behavior"] == "Removed"
@@ -62,9 +73,12 @@ def _parts_at_blanks(spec: dict) -> bool:
 class Encoder:
     """Texts to ids through the tokenizers library, as bytes of ``dtype``.
 
-    Where the tokenizer's file shows that blanks only separate, each different word is encoded
-    once and remembered: a text's ids are those of its words in order (tested against encoding
-    the text as a whole).  Otherwise every text is encoded as a whole.
+    Where the tokenizer's file allows it, each different part of the texts (a word, or a run of
+    punctuation) is encoded once and remembered: a text's ids are those of its parts in order
+    (tested against encoding the text as a whole).  Parts of ASCII letters go to the library's
+    model, since nothing else would change them.  Otherwise every text is encoded as a whole.
+    Parts are remembered in two generations; when the younger is full the older, not met since,
+    is forgotten.
     """
 
     def __init__(self, path: str, top: int = 0):
@@ -72,29 +86,48 @@ class Encoder:
 
         self.own = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = _parts_at_blanks(json.load(f))
+            spec = json.load(f)
+        self.in_parts = _cuts(spec)
+        self.special = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
         last = max([top, *self.own.get_vocab(with_added_tokens=True).values()])
         self.dtype = np.dtype("<u2" if last < 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.own.encode_batch(texts, add_special_tokens=False)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.own.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def _learn(self, parts: set[bytes]) -> None:
+        young, old, other = self.young, self.old, []
+        tokenize, kind = self.own.model.tokenize, self.dtype.char
+        for w in parts:
+            if w in old:
+                young[w] = old[w]
+            elif w.isalpha() and w.islower():
+                ids = [t.id for t in tokenize(w.decode())]
+                young[w] = struct.pack(f"<{len(ids)}{kind}", *ids)
+            else:
+                other.append(w)
+        young.update(zip(other, self._whole([w.decode("utf-8") for w in other])))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self.by_word:
-            return self._plain([t or "" for t in texts])
-        split = [WORDS.findall(t) if t else [] for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        known = self.known
-        known.update(zip(new, self._plain(new)))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if not self.in_parts:
+            return self._whole([t or "" for t in texts])
+        split = []
+        for t in texts:
+            data = (t or "").encode("utf-8")
+            low = data.lower()
+            plain = any(s in low for s in self.special)  # cut at blanks, unfolded
+            split.append(WORDS.findall(data) if plain else PARTS.findall(low))
+        new = set().union(*split) - self.young.keys()
+        self._learn(new)
+        out = [b"".join(map(self.young.__getitem__, parts)) for parts in split]
         for w in new:
-            if len(w) > LONG_WORD:
-                del known[w]
+            if len(w) > LONG_PART:
+                del self.young[w]
+        if len(self.young) > MEMORY:
+            self.young, self.old = {}, self.young
         return out
 
 
