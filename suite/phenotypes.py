@@ -8,7 +8,7 @@ from suite.inputs import (
     CUSTOMER_FEATURES, DIMENSIONS, DIMS, LINEITEM, MEASURES, ORDERS, VECTORS, WIDTH, customers,
     dimensions, lineitem, orders, rd, rounded, table, union, vectors,
 )
-from trialframe.operators import cluster, groups, validate
+from trialframe.operators import cluster, groups, mixture, validate
 from trialframe.operators import phenotype as pheno
 from trialframe.operators.features import prepare_features
 from trialframe.plans import pipeline
@@ -473,7 +473,9 @@ def _feats(spark, sf):
 
 
 def _vec_feats(spark, sf):
-    return prepare_features(dimensions(spark, sf), "vec_id", DIMS)
+    """All values of the vectors."""
+    wide = [f"e{i}" for i in range(1, WIDTH + 1)]
+    return prepare_features(dimensions(spark, sf, WIDTH), "vec_id", wide)
 
 
 @query("kmeans")
@@ -498,12 +500,19 @@ def ward(spark, sf):
 
 @query("gmm")
 def gmm(spark, sf):
-    return cluster.gmm(_feats(spark, sf), [2, 3])[0].drop("x")
+    return mixture.gmm(_feats(spark, sf))[0].drop("x")
 
 
 @query("gmm_criteria")
 def gmm_criteria(spark, sf):
-    return cluster.gmm(_vec_feats(spark, sf), [2, 3])[1]
+    frame, models = mixture.gmm(_vec_feats(spark, sf))
+    return mixture.mixture_criteria(frame, models)
+
+
+@query("gmm_parameters")
+def gmm_parameters(spark, sf):
+    frame, models = mixture.gmm(_feats(spark, sf))
+    return mixture.mixture_table(frame, models)
 
 
 @query("gap_statistic")
@@ -561,6 +570,62 @@ def ward_planted(spark, sf):
     return _partition(cluster.cluster(feats, "agglomerative", [10])[0], "agglomerative_10")
 
 
+@query("gmm_planted", _PLANTED_SQL)
+def gmm_planted(spark, sf):
+    feats = prepare_features(_planted(spark, sf), "vec_id", _PLANTED)
+    return _partition(mixture.gmm(feats, [10], n_init=10)[0], "gmm_10")
+
+
+# The groups lie so far apart that every responsibility is 0 or 1 in double precision: weights,
+# means and covariances are those of the labels' rows, in units of the whole table's spread.
+_Z = "z AS (SELECT label, " + ", ".join(
+    f"(s{i} - avg(s{i}) OVER ()) / stddev_pop(s{i}) OVER () AS s{i}" for i in range(10)) + " FROM p)"
+_SUMS = "p AS (SELECT label, " + ", ".join(
+    " + ".join(f"CAST(embedding[{j + 1}] AS DOUBLE)" for j in range(i, WIDTH, 10))
+    + f" + CASE WHEN label = {i} THEN 100 ELSE 0 END AS s{i}" for i in range(10)) + " FROM embeddings)"
+_COV = " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, count(*) / (SELECT count(*) FROM z) AS weight, avg(s{i}) AS mean_i, "
+    f"avg(s{j}) AS mean_j, covar_pop(s{i}, s{j}) + {1e-6 if i == j else 0.0} AS covariance "
+    "FROM z GROUP BY label" for i in range(10) for j in range(i, 10))
+
+
+@query(
+    "gmm_parameters_planted",
+    f"WITH {_SUMS}, {_Z}, c AS ({_COV}) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, "
+    f"{rd('weight')} AS weight, {rd('mean_i')} AS mean_i, {rd('mean_j')} AS mean_j, "
+    f"{rd('covariance')} AS covariance FROM c",
+)
+def gmm_parameters_planted(spark, sf):
+    """Weight, means and covariance of every pair of variables and component."""
+    feats = prepare_features(_planted(spark, sf), "vec_id", _PLANTED)
+    frame, models = mixture.gmm(feats, [10], n_init=10)
+    t = mixture.mixture_table(frame, models)
+    rows = t.select("weight", "mean", F.posexplode("covariance").alias("i", "row")).select(
+        "weight", "mean", "i", F.posexplode("row").alias("j", "covariance")).where("i <= j")
+    return rounded(rows.select("i", "j", "weight", F.col("mean")[F.col("i")].alias("mean_i"),
+                               F.col("mean")[F.col("j")].alias("mean_j"), "covariance"))
+
+
+# Two of the variables make three groups.  With responsibilities of 0 and 1 the log-likelihood of
+# a group is n (log w - log 2π - log|S| / 2 - tr(S⁻¹ C) / 2), C its covariance and S with the ridge.
+@query(
+    "gmm_criteria_planted",
+    f"WITH {_SUMS}, {_Z}, g AS (SELECT 3 AS k, least(CASE WHEN label = 0 THEN 0 WHEN label = 1 THEN 1 "
+    "ELSE 2 END) AS g, s0, s1 FROM z UNION ALL SELECT 1, 0, s0, s1 FROM z), "
+    "c AS (SELECT k, g, count(*) AS n, covar_pop(s0, s0) AS a, covar_pop(s1, s1) AS b, "
+    "covar_pop(s0, s1) AS c FROM g GROUP BY k, g), "
+    "d AS (SELECT *, (a + 1e-6) * (b + 1e-6) - c * c AS det, sum(n) OVER (PARTITION BY k) AS total FROM c), "
+    "l AS (SELECT k, max(total) AS total, sum(n * (ln(n / total) - ln(2 * pi()) - 0.5 * ln(det) "
+    "- 0.5 * ((b + 1e-6) * a + (a + 1e-6) * b - 2 * c * c) / det)) AS ll FROM d GROUP BY k) "
+    f"SELECT CAST(k AS INTEGER) AS k, {rd('ll', 4)} AS log_likelihood, "
+    f"{rd('-2 * ll + (6 * k - 1) * ln(total)', 4)} AS bic, {rd('-2 * ll + 2 * (6 * k - 1)', 4)} AS aic FROM l",
+)
+def gmm_criteria_planted(spark, sf):
+    feats = prepare_features(_planted(spark, sf), "vec_id", ["s0", "s1"])
+    frame, models = mixture.gmm(feats, [1, 3], n_init=10)
+    return rounded(mixture.mixture_criteria(frame, models), 4)
+
+
 @query(
     "bootstrap_planted",
     "SELECT CAST(1.0 AS DOUBLE) AS mean_jaccard, CAST(1.0 AS DOUBLE) AS min_jaccard "

@@ -1,8 +1,8 @@
 """K-means for many k, restarts and replicates at the same time.
 
-One pass over the data advances every model.  A task assigns its batches for all models by
-matrix products and sends on (weight, cost, sum of x) per model and cluster; Spark adds these,
-and the driver gets models × k × p numbers.  So ten restarts of five values of k, or the
+One pass over the packed rows advances every model.  The centers of all models are stacked into
+one matrix product, and a task sends (weight, cost, sum of x) of all clusters as one vector;
+the driver gets models × k × (p + 2) numbers.  So ten restarts of five values of k, or the
 hundreds of fits of a gap statistic, cost as many scans as the slowest of them.
 
 Seeds come from all rows (k-means||, Bahmani et al. 2012): a few passes draw candidates, each
@@ -24,17 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trialframe.columns import col
 from trialframe.operators.features import Features
-from trialframe.plans.arrays import array_sum, square_distances, to_lists, to_matrix
+from trialframe.plans.arrays import square_distances, to_lists, to_matrix
+from trialframe.plans.blocks import Blocks, pack
 
 #: Passes that draw seed candidates, and how many each draws per cluster of the largest k.
 SEED_ROUNDS = 4
 OVERSAMPLING = 2
-#: Groups in which the tasks' candidates are thinned before one task sees the rest.
-SEED_GROUPS = 64
 MAX_ITER = 300
 TOLERANCE = 1e-4
 
@@ -99,15 +97,37 @@ def row_hash(id_col: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), col(id_col))
 
 
+#: Distances that a task holds at once.
+CELLS = 1 << 22
+
+
+def _pieces(blocks: Iterator[tuple[np.ndarray, np.ndarray]], width: int):
+    """Blocks cut so that ``width`` numbers per row fit ``CELLS``."""
+    step = max(64, CELLS // max(width, 1))
+    for h, x in blocks:
+        for i in range(0, len(x), step):
+            yield h[i:i + step], x[i:i + step]
+
+
 def _step(x: np.ndarray, w: np.ndarray | None, centers: np.ndarray):
-    """(weight, cost, sum of x) per cluster when every row goes to its nearest center."""
-    k = len(centers)
-    d = square_distances(x, centers)
-    near = d.argmin(axis=1)
-    best = d[np.arange(len(x)), near]
-    hot = np.zeros((len(x), k))
-    hot[np.arange(len(x)), near] = 1.0 if w is None else w
-    cost = np.bincount(near, weights=best if w is None else best * w, minlength=k)
+    """(weight, cost, sum of x) per cluster when rows go to their nearest center.
+
+    ``centers`` is models x k x p: one product with all of them.
+    """
+    m, k, p = centers.shape
+    flat = centers.reshape(m * k, p)
+    d = x @ (-2.0 * flat.T)
+    d += (flat * flat).sum(axis=1)
+    d = d.reshape(len(x), m, k)
+    near = d.argmin(axis=2)
+    best = np.take_along_axis(d, near[:, :, None], axis=2)[:, :, 0]
+    best = np.maximum(best + (x * x).sum(axis=1)[:, None], 0.0)
+    if w is not None:
+        best = best * w[:, None]
+    place = near + k * np.arange(m)
+    cost = np.bincount(place.ravel(), weights=best.ravel(), minlength=m * k)
+    hot = np.zeros((len(x), m * k))
+    np.put_along_axis(hot, place, 1.0 if w is None else np.broadcast_to(w[:, None], place.shape), axis=1)
     return hot.sum(axis=0), cost, hot.T @ x
 
 
@@ -116,74 +136,69 @@ def _moved(centers: np.ndarray, weight: np.ndarray, total: np.ndarray) -> np.nda
     return np.where(weight[:, None] > 0, total / np.maximum(weight, 1e-300)[:, None], centers)
 
 
-def _statistics(frame: DataFrame, models: Sequence[Model], which: Sequence[int], p: int):
+def by_world(models: Sequence, which: Sequence[int]) -> dict[World, dict[int, list[int]]]:
+    """world -> k -> models: what a pass can do together."""
+    out: dict[World, dict[int, list[int]]] = {}
+    for i in which:
+        out.setdefault(models[i].world, {}).setdefault(models[i].k, []).append(i)
+    return out
+
+
+def _statistics(blocks: Blocks, models: Sequence[Model], which: Sequence[int]):
     """{model: (weights, cost, sums)} of the current centers, by one pass."""
-    views: dict[World, list[int]] = {}
-    for m in which:
-        views.setdefault(models[m].world, []).append(m)
-    centers = {m: models[m].centers for m in which}
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {m: [np.zeros(len(c)), np.zeros(len(c)), np.zeros_like(c)]
-                for m, c in centers.items()}
-        seen = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            seen = True
-            raw = to_matrix(batch.column(1), p)
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            for world, members in views.items():
+    p, views = blocks.width, by_world(models, which)
+    stacked = {w: [np.stack([models[i].centers for i in members]) for members in groups.values()]
+               for w, groups in views.items()}
+    order = [i for groups in views.values() for members in groups.values() for i in members]
+    rows = sum(models[i].k for i in order)
+    widest = max((sum(len(i) * k for k, i in g.items()) for g in views.values()), default=1)
+
+    def work(data: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        total = np.zeros((rows, p + 2))
+        for h, raw in _pieces(data, widest):
+            at = 0
+            for world, groups in stacked.items():
                 x, w = _view(world, raw, h)
-                for m in members:
-                    for have, new in zip(sums[m], _step(x, w, centers[m])):
-                        have += new
-        if seen:
-            ids = np.concatenate([np.full(len(c), m) for m, c in centers.items()])
-            spots = np.concatenate([np.arange(len(c)) for c in centers.values()])
-            weight, cost, total = (np.concatenate([v[i] for v in sums.values()])
-                                   for i in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int32()),
-                    pa.array(spots, pa.int32()),
-                    pa.array(weight, pa.float64()),
-                    pa.array(cost, pa.float64()),
-                    to_lists(total, pa.float64()),
-                ],
-                names=["model", "cluster", "w", "cost", "s"],
-            )
-
-    rows = (
-        frame.mapInArrow(
-            summarise, "model int, cluster int, w double, cost double, s array<double>"
-        )
-        .groupBy("model", "cluster")
-        .agg(F.sum("w").alias("w"), F.sum("cost").alias("cost"), array_sum("s", p).alias("s"))
-        .collect()
-    )
-    out = {
-        m: (np.zeros(len(c)), np.zeros(len(c)), np.zeros_like(c)) for m, c in centers.items()
-    }
-    for r in rows:
-        w, cost, s = out[r["model"]]
-        w[r["cluster"]], cost[r["cluster"]] = r["w"], r["cost"]
-        s[r["cluster"]] = r["s"]
+                for centers in groups:
+                    end = at + centers.shape[0] * centers.shape[1]
+                    weight, cost, s = _step(x, w, centers)
+                    total[at:end, 0] += weight
+                    total[at:end, 1] += cost
+                    total[at:end, 2:] += s
+                    at = end
+        return total.ravel()
+
+    found = blocks.reduce(work, size=rows * (p + 2)).reshape(rows, p + 2)
+    out, at = {}, 0
+    for i in order:
+        part = found[at:at + models[i].k]
+        out[i] = part[:, 0], part[:, 1], part[:, 2:]
+        at += models[i].k
     return out
 
 
-def _drawn(frame: DataFrame, worlds: Sequence[World], have: dict[int, np.ndarray], many: int,
-           step: int, p: int) -> dict[int, np.ndarray]:
+def _drawn(blocks: Blocks, worlds: Sequence[World], have: dict[int, np.ndarray], many: int,
+           step: int) -> dict[int, np.ndarray]:
     """``many`` more candidates per world, drawn without replacement with a chance by d².
 
     A row's key is −log(u) / d², u from its hash; the smallest keys are the draw (Efraimidis and
     Spirakis 2006).  A task sends its ``many`` smallest, so the draw needs one pass and no total.
     """
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {i: (np.zeros(0), np.zeros((0, p))) for i in range(len(worlds))}
-        for batch in batches:
-            raw = to_matrix(batch.column(1), p)
-            h = batch.column(0).to_numpy(zero_copy_only=False)
+    p = blocks.width
+
+    def smallest(rows: np.ndarray) -> np.ndarray:
+        """The ``many`` rows of each world that come first by key, then by their numbers."""
+        rows = rows[np.lexsort(rows.T[::-1])]
+        start = np.searchsorted(rows[:, 0], rows[:, 0])
+        return rows[np.arange(len(rows)) - start < many]
+
+    def merge(parts: list[np.ndarray]) -> np.ndarray:
+        return smallest(np.concatenate(parts).reshape(-1, p + 2)).ravel()
+
+    def work(data: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        best = np.zeros((0, p + 2))
+        for h, raw in _pieces(data, max(len(c) for c in have.values()) + p):
+            found = [best]
             for i, world in enumerate(worlds):
                 x, w = _view(world, raw, h)
                 chance = np.ones(len(x)) if w is None else w
@@ -191,33 +206,23 @@ def _drawn(frame: DataFrame, worlds: Sequence[World], have: dict[int, np.ndarray
                     chance = chance * square_distances(x, have[i]).min(axis=1)
                 there = np.flatnonzero(chance > 1e-12)
                 u = unit(h[there], 15_485_863 + 4_096 * i + step)
-                key = np.concatenate([best[i][0], -np.log1p(-u) / chance[there]])
-                first = np.argsort(key, kind="stable")[:many]
-                best[i] = key[first], np.concatenate([best[i][1], x[there]])[first]
-        ids = np.concatenate([np.full(len(k), i) for i, (k, _) in best.items()])
-        keys, rows = (np.concatenate([b[j] for b in best.values()]) for j in range(2))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int32()), pa.array(keys, pa.float64()), to_lists(rows, pa.float64())],
-            names=["world", "key", "x"])
-
-    found = frame.mapInArrow(draw, "world int, key double, x array<double>").withColumn(
-        "g", F.spark_partition_id() % SEED_GROUPS)
-    for groups in (["world", "g"], ["world"]):
-        nth = F.row_number().over(Window.partitionBy(*groups).orderBy("key", "x"))
-        found = found.withColumn("nth", nth).filter(F.col("nth") <= many)
-    out = {i: list(c) for i, c in have.items()}
-    for r in found.select("world", "key", "x").orderBy("world", "key", "x").collect():
-        out[r["world"]].append(np.array(r["x"]))
-    return {i: np.array(c).reshape(-1, p) for i, c in out.items()}
-
-
-def _candidates(frame: DataFrame, worlds: Sequence[World], k: int, p: int):
+                key = -np.log1p(-u) / chance[there]
+                found.append(np.column_stack([np.full(len(there), float(i)), key, x[there]]))
+            best = smallest(np.concatenate(found))
+        return best.ravel()
+
+    rows = blocks.reduce(work, merge, size=many * len(worlds) * (p + 2)).reshape(-1, p + 2)
+    return {i: np.concatenate([c, rows[rows[:, 0] == i, 2:]]) for i, c in have.items()}
+
+
+def _candidates(blocks: Blocks, worlds: Sequence[World], k: int):
     """(candidates, rows nearest to each) of every world; at most 8 k of them, from all rows."""
+    p = blocks.width
     have = {i: np.zeros((0, p)) for i in range(len(worlds))}
     for step in range(SEED_ROUNDS):
-        have = _drawn(frame, worlds, have, OVERSAMPLING * k, step, p)
+        have = _drawn(blocks, worlds, have, OVERSAMPLING * k, step)
     models = [Model(len(have[i]), world, have[i]) for i, world in enumerate(worlds)]
-    counts = _statistics(frame, models, [i for i in range(len(models)) if models[i].k], p)
+    counts = _statistics(blocks, models, [i for i in range(len(models)) if models[i].k])
     return {world: (have[i], counts[i][0]) if i in counts else (np.zeros((1, p)), np.ones(1))
             for i, world in enumerate(worlds)}
 
@@ -247,40 +252,52 @@ def _tolerance(world: World) -> float:
     return TOLERANCE * float(np.mean([(hi - lo) ** 2 / 12 for lo, hi in world.box]))
 
 
+def packed(feats: Features, seed: int) -> Blocks:
+    """The rows of a feature matrix with the hash that their replicates follow."""
+    return pack(feats.frame.select(row_hash(feats.id_col, seed).alias("h"), "x"), feats.n, feats.width)
+
+
 def fit_models(
     feats: Features, wanted: Sequence[tuple[int, World]], n_init: int = 10, seed: int = 42,
-    max_iter: int = MAX_ITER,
+    max_iter: int = MAX_ITER, blocks: Blocks | None = None,
 ) -> list[Model]:
     """The best of ``n_init`` restarts for every (k, world), in the order of ``wanted``."""
-    frame = feats.frame.select(row_hash(feats.id_col, seed).alias("h"), "x")
-    p = feats.width
+    models = fit_restarts(feats, wanted, n_init, seed, max_iter, blocks)
+    return [min(models[i:i + n_init], key=lambda m: m.inertia) for i in range(0, len(models), n_init)]
+
+
+def fit_restarts(
+    feats: Features, wanted: Sequence[tuple[int, World]], n_init: int = 10, seed: int = 42,
+    max_iter: int = MAX_ITER, blocks: Blocks | None = None,
+) -> list[Model]:
+    """All restarts of every (k, world), those of one next to each other.
+
+    A restart stops by its own shift; the pass that moves the others gives its final cost.
+    """
+    own = blocks or packed(feats, seed)
     worlds = list(dict.fromkeys(world for _, world in wanted))
-    seeds = _candidates(frame, worlds, max(k for k, _ in wanted), p)
+    seeds = _candidates(own, worlds, max(k for k, _ in wanted))
     models = [
         Model(k, world, _spread_seeds(*seeds[world], k, np.random.default_rng([seed, number, r])), r)
         for number, (k, world) in enumerate(wanted)
         for r in range(n_init)
     ]
-    active = list(range(len(models)))
-    for _ in range(max_iter):
-        if not active:
-            break
-        stats = _statistics(frame, models, active, p)
-        for i in active:
-            w, _, s = stats[i]
-            moved = _moved(models[i].centers, w, s)
-            shift = float(((moved - models[i].centers) ** 2).sum())
-            models[i].centers = moved
-            models[i].done = shift <= _tolerance(models[i].world)
-        active = [i for i in active if not models[i].done]
-    final = _statistics(frame, models, range(len(models)), p)
-    for i, m in enumerate(models):
-        w, cost, s = final[i]
-        m.inertia, m.sizes, m.means = float(cost.sum()), w, _moved(m.centers, w, s)
-    return [
-        min(models[i : i + n_init], key=lambda m: m.inertia)
-        for i in range(0, len(models), n_init)
-    ]
+    todo, passes = list(range(len(models))), 0
+    while todo:
+        stats = _statistics(own, models, todo)
+        for i in todo:
+            m, (w, cost, s) = models[i], stats[i]
+            moved = _moved(m.centers, w, s)
+            if m.done or passes >= max_iter:
+                m.done, m.inertia, m.sizes, m.means = True, float(cost.sum()), w, moved
+                continue
+            m.done = float(((moved - m.centers) ** 2).sum()) <= _tolerance(m.world)
+            m.centers = moved
+        todo = [i for i in todo if models[i].means is None]
+        passes += 1
+    if blocks is None:
+        own.release()
+    return models
 
 
 def labels_udf(models: Sequence[Model], p: int):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from trialframe.columns import col
 from trialframe.operators.features import Features
 from trialframe.operators.kmeans import World, fit_models, poisson_weights, row_hash
+from trialframe.operators.mixture import Mixture, fit_mixtures, log_joint
 from trialframe.plans.arrays import array_sum, square_distances, to_lists, to_matrix
 from trialframe.plans.blockpairs import BLOCK_ROWS, over_block_pairs
 
@@ -306,8 +307,11 @@ def bootstrap_stability(
         worlds = [World("bootstrap", b, fraction) for b in range(n_bootstrap)]
         models = fit_models(feats, [(k, w) for w in worlds], n_init, seed)
         labelled = _replicate_labels(feats, models, seed, fraction)
-    elif method in ("gmm", "agglomerative"):
-        labelled = _refit_labels(feats, method, k, n_bootstrap, fraction, seed)
+    elif method == "gmm":
+        worlds = [World("bootstrap", b, fraction) for b in range(n_bootstrap)]
+        labelled = _replicate_labels(feats, fit_mixtures(feats, [(k, w) for w in worlds], 1, seed), seed, fraction)
+    elif method == "agglomerative":
+        labelled = _refit_labels(feats, k, n_bootstrap, fraction, seed)
     else:
         raise ValueError(f"unknown method {method!r}")
     tables = _contingency(labelled, n_bootstrap, k)
@@ -325,26 +329,34 @@ def bootstrap_stability(
 
 def _replicate_labels(feats: Features, models, seed: int, fraction: float) -> DataFrame:
     """One array per row: its label in each replicate, −1 where it does not occur."""
-    p, centers = feats.width, [m.centers for m in models]
+    p = feats.width
+
+    def labeller(m):
+        if isinstance(m, Mixture):
+            parts = m.means, *m.whitener()
+            return lambda x: log_joint(x, *parts).argmax(axis=1)
+        centers = m.centers
+        return lambda x: square_distances(x, centers).argmin(axis=1)
+
+    labellers = [labeller(m) for m in models]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = to_matrix(batch.column(1), p)
             h = batch.column(0).to_numpy(zero_copy_only=False)
-            out = np.full((len(x), len(centers)), -1, dtype="int32")
-            for b, c in enumerate(centers):
+            out = np.full((len(x), len(labellers)), -1, dtype="int32")
+            for b, nearest in enumerate(labellers):
                 there = poisson_weights(h, b, fraction) > 0
-                out[there, b] = square_distances(x[there], c).argmin(axis=1)
+                out[there, b] = nearest(x[there])
             yield pa.RecordBatch.from_arrays([to_lists(out, pa.int32())], names=["l"])
 
     return feats.frame.select(row_hash(feats.id_col, seed), "x").mapInArrow(label, "l array<int>")
 
 
-def _refit_labels(feats: Features, method, k, n_bootstrap, fraction, seed) -> DataFrame:
-    """The same for methods that are fitted one replicate at a time, on weighted rows."""
+def _refit_labels(feats: Features, k, n_bootstrap, fraction, seed) -> DataFrame:
+    """The same for Ward, which is fitted one replicate at a time, on weighted rows."""
     from dataclasses import replace
 
-    from trialframe.operators.cluster import gmm
     from trialframe.operators.ward import ward
 
     def times(b: int):
@@ -358,13 +370,9 @@ def _refit_labels(feats: Features, method, k, n_bootstrap, fraction, seed) -> Da
     for b in range(n_bootstrap):
         sample = feats.frame.withColumn("__w", times(b)).filter("__w > 0")
         rep = replace(feats, frame=sample, cached=False)
-        frame = (
-            ward(rep, [k], weights="__w") if method == "agglomerative"
-            else gmm(rep, [k], seed + b, weights="__w")[0]
-        )
-        parts.append(frame.select(
+        parts.append(ward(rep, [k], weights="__w").select(
             col(feats.id_col).alias("id"), F.lit(b).alias("b"),
-            col(f"{method}_{k}").alias("label")))
+            col(f"agglomerative_{k}").alias("label")))
     from functools import reduce
 
     long = reduce(DataFrame.unionByName, parts)
