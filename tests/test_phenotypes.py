@@ -143,6 +143,34 @@ def test_ward_matches_sequential_merging(spark, driver):
         assert set(labels) == set(range(k))
 
 
+@pytest.mark.parametrize("p,cells", [(2, 7), (2, 20), (3, 16), (1, 5), (20, 12)])
+def test_ward_cells_give_the_same_tree(spark, p, cells):
+    """Cells with walls, pair rounds in between, and the last cell without walls."""
+    pdf, _ = blobs(70, p, 5, seed=p, spread=1.2)
+    f = prepare_features(spark.createDataFrame(pdf).repartition(3), "id")
+    out = ward.ward(f, [1, 2, 4, 7, 15, 40], driver_clusters=2, block_rows=30, cell_clusters=cells)
+    got = out.toPandas().sort_values("id")
+    x = np.array(got["x"].tolist())
+    for k in (1, 2, 4, 7, 15, 40):
+        labels = got[f"agglomerative_{k}"].to_numpy()
+        assert {frozenset(np.flatnonzero(labels == c)) for c in set(labels)} == ward_by_hand(x, k), k
+
+
+def test_ward_cell_leaves_what_walls_may_hide():
+    """Merges of a cell are merges of the whole, and a wall right beside a point blocks it."""
+    rng = np.random.default_rng(8)
+    x = rng.random((300, 2))
+    ids, one = np.arange(300), np.ones(300)
+    low, high = np.array([-np.inf, -np.inf]), np.array([0.5, np.inf])
+    inside = x[:, 0] < 0.5
+    open_, none = np.full(2, -np.inf), np.full(2, np.inf)
+    whole, _ = ward._merge_inside(ids, one, one * 0, x, open_, none, 1.0)
+    part, left = ward._merge_inside(ids[inside], one[inside], one[inside] * 0, x[inside], low, high, 1.0)
+    assert len(whole) == 299 and {m[:2] for m in part} <= {m[:2] for m in whole}
+    assert 0.2 < len(part) / inside.sum() < 1 and len(left[0]) + len(part) == inside.sum()
+    assert left[1].sum() == inside.sum()
+
+
 def test_ward_cut_inside_spark_rounds(spark):
     """Two far pairs merge in the first round at a cost above later merges."""
     line = np.random.default_rng(4).random(30)
