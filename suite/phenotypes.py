@@ -667,11 +667,24 @@ def pipeline_report(spark, sf):
 def discover(spark, sf):
     return pipeline.discover(
         customers(spark, sf), "c_custkey", CUSTOMER_FEATURES, ("kmeans", "agglomerative"),
-        range(2, 5), attach=["c_mktsegment"]).assignments
+        attach=["c_mktsegment"]).assignments
+
+
+# What discovery must find in the planted groups, whichever method it takes: the k of the labels,
+# and the silhouettes of their partition.
+@query(
+    "discover_planted",
+    _PLANTED_SQL.replace("SELECT ", "SELECT CAST(10 AS INTEGER) AS k, ", 1),
+)
+def discover_planted(spark, sf):
+    found = pipeline.discover(
+        _planted(spark, sf), "vec_id", _PLANTED, ("kmeans", "agglomerative", "gmm"), [9, 10, 11])
+    label = f"{found.method}_{found.k}"
+    return _partition(found.labelled, label).select(F.lit(found.k).alias("k"), "first_id", "n")
 
 
 @query("discover_metrics")
 def discover_metrics(spark, sf):
     return pipeline.discover(
-        dimensions(spark, sf), "vec_id", DIMS, ("kmeans", "agglomerative", "gmm"),
-        range(2, 5)).metrics
+        dimensions(spark, sf, WIDTH), "vec_id", [f"e{i}" for i in range(1, WIDTH + 1)],
+        ("kmeans", "agglomerative", "gmm")).metrics

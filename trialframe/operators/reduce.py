@@ -36,6 +36,10 @@ class Reduction:
     samples_used: int
 
 
+# Fixed value: the error text that callers of FAMD expect when no row is complete.
+NO_ROWS = "No data remaining for FAMD after removing rows with missing values."
+
+
 def _variance_table(df: DataFrame, ratios: Sequence[float]) -> DataFrame:
     rows, total = [], 0.0
     for i, r in enumerate(ratios, 1):
@@ -123,7 +127,7 @@ def famd(
     whole = complete_cases(df, [*nums, *cats])
     n = whole.count()
     if not n:
-        raise ValueError("No data remaining for FAMD after removing rows with missing values.")
+        raise ValueError(NO_ROWS)
     features: list[tuple[str, Column]] = []
     if nums:
         fit = fitted(per_variable(whole, nums, {"m": F.avg, "s": F.stddev_pop}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from trialframe.operators import phenotype as pheno
 from trialframe.operators.explore import describe_numeric
 from trialframe.operators.features import prepare_features
 from trialframe.operators.missing import overview
+from trialframe.plans.lineage import written
 from trialframe.sources.tables import attach_from
 
 STEP_SCHEMA = "step string, key string, value string, at timestamp"
@@ -209,20 +210,21 @@ def discover(
     """Prepare the matrix, cluster, score every k, choose, profile, compare and assign.
 
     ``metric="sqeuclidean"`` scores by one scan instead of all pairs, for tables on which the
-    Euclidean silhouette (quadratic by definition) is out of reach.
+    Euclidean silhouette (quadratic by definition) is out of reach.  The labelled rows are
+    written to the shared folder once and all results read them from there.
     """
     feats = prepare_features(df, id_col, cols)
     if not feats.names:
         raise ValueError("no usable numeric feature")
-    labelled, tables = feats.frame, []
-    for method in methods:
-        frame, criteria = clustering.cluster(feats, method, ks, n_init, seed)
-        added = [c for c in frame.columns if c not in feats.frame.columns]
-        tables.append(clustering.cluster_metrics(
-            frame, method, ks, id_col, feats.width, criteria, metric))
-        mine = frame.select(col(id_col), *[col(c) for c in added])
-        labelled = frame if len(methods) == 1 else labelled.join(mine, id_col)
-    metrics = clustering.combine_metrics(tables)
+    # Every method adds its columns to the same frame; Ward's labels come by a join, so they are
+    # added last and no other fit runs through it.
+    whole, criteria = feats, dict.fromkeys(methods)
+    for method in sorted(criteria, key=lambda m: m == "agglomerative"):
+        frame, criteria[method] = clustering.cluster(whole, method, ks, n_init, seed)
+        whole = replace(whole, frame=frame)
+    labelled = written(whole.frame)
+    feats.release()
+    metrics = clustering.metrics_of_methods(labelled, criteria, ks, id_col, feats.width, metric)
     optimal = validate.optimal_k(metrics, min_cluster_size)
     best = optimal.filter("optimal_k is not null").orderBy(F.desc("silhouette")).first()
     if best is None:
