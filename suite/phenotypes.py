@@ -606,6 +606,35 @@ def gmm_parameters_planted(spark, sf):
                                F.col("mean")[F.col("j")].alias("mean_j"), "covariance"))
 
 
+# At the planted k the clusters are the labels' rows, so log W is that of their spread.
+@query(
+    "gap_planted",
+    f"WITH {_SUMS}, {_Z}, w AS (SELECT " + " + ".join(f"count(*) * var_pop(s{i})" for i in range(10))
+    + f" AS w FROM z GROUP BY label) SELECT CAST(10 AS INTEGER) AS k, {rd('ln(sum(w))')} AS log_w FROM w",
+)
+def gap_planted(spark, sf):
+    feats = prepare_features(_planted(spark, sf), "vec_id", _PLANTED)
+    return rounded(validate.gap_statistic(feats, [10])[0].select("k", "log_w"))
+
+
+@query(
+    "assignments_planted",
+    "WITH n AS (SELECT label, min(vec_id) AS first_id, count(*) AS n FROM embeddings GROUP BY label) "
+    "SELECT first_id, n, true AS one_name, CAST(1.0 AS DOUBLE) AS least_probability FROM n",
+)
+def assignments_planted(spark, sf):
+    """Rows, names and probabilities of the phenotypes that a mixture assigns."""
+    feats = prepare_features(_planted(spark, sf), "vec_id", _PLANTED)
+    frame, _ = mixture.gmm(feats, [10], n_init=10)
+    t = pheno.assignments(frame, "gmm", 10, feats.names, "vec_id", {0: "First"})
+    own = F.element_at(F.array(*[f"Phenotype_{i}_Probability" for i in range(1, 11)]), F.col("Phenotype") + 1)
+    named = F.col("Phenotype_Name") == F.when(F.col("Phenotype") == 0, "First").otherwise(
+        F.format_string("Phenotype_%d", F.col("Phenotype") + 1))
+    return rounded(t.groupBy("Phenotype").agg(
+        F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.min(named).alias("one_name"),
+        F.min(own).alias("least_probability")).drop("Phenotype"))
+
+
 # Two of the variables make three groups.  With responsibilities of 0 and 1 the log-likelihood of
 # a group is n (log w - log 2π - log|S| / 2 - tr(S⁻¹ C) / 2), C its covariance and S with the ridge.
 @query(

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from suite.inputs import (
-    DICTIONARY, LINEITEM, MEASURES, PARTS, VISITS, WORDS, dictionary, lineitem, parts, rd, rounded,
+    DICTIONARY, LINEITEM, MEASURES, ORDERS, PARTS, VISITS, WORDS, dictionary, lineitem, parts, rd, rounded,
     table, union, visits, words,
 )
 from trialframe.operators import explore, impute, missing, quality, reduce, screen
@@ -895,6 +895,22 @@ def transform_square(spark, sf):
     return _transform(spark, sf, "square")
 
 
+@query(
+    "applied_transformations",
+    "WITH e AS (SELECT min(value - 5) AS lo, min(value * value) AS sq FROM events), "
+    "o AS (SELECT CASE WHEN lo <= 0 THEN abs(lo) + 1 ELSE 0 END AS a, "
+    "CASE WHEN sq < 0 THEN abs(sq) + 0.01 ELSE 0 END AS b FROM e) "
+    f"SELECT 'value' AS variable, 'log' AS type, {rd('a')} AS offset FROM o UNION ALL "
+    f"SELECT 'squared', 'sqrt', {rd('b')} FROM o UNION ALL SELECT 'event_id', 'square', NULL FROM o",
+)
+def applied_transformations(spark, sf):
+    """What was applied: kinds and offsets (the identifier is squared as a plain number here)."""
+    e = table(spark, sf, "events").select(
+        "event_id", (F.col("value") - 5).alias("value"), (F.col("value") * F.col("value")).alias("squared"))
+    plan = {"value": "log", "squared": "sqrt", "event_id": "square", "none": "log"}
+    return rounded(quality.apply_transformations(e, plan)[1].select("variable", "type", "offset"))
+
+
 @query("yeo_johnson")
 def yeo_johnson(spark, sf):
     return quality.apply_transformations(
@@ -988,6 +1004,25 @@ def pca_variance(spark, sf):
     return rounded(reduce.pca(lineitem(spark, sf), ["l_quantity", "l_extendedprice"]).variance)
 
 
+# Components with the treatment group at their side: mean squares of the scores per group.
+@query(
+    "components_by_treatment",
+    f"WITH {ORDERS}, s AS (SELECT avg(o_totalprice) AS ma, stddev_pop(o_totalprice) AS sa, "
+    "avg(c_acctbal) AS mb, stddev_pop(c_acctbal) AS sb, CASE WHEN corr(o_totalprice, c_acctbal) "
+    "< 0 THEN -1 ELSE 1 END AS g FROM oc), z AS (SELECT tx, (o_totalprice - ma) / sa AS a, "
+    "g * (c_acctbal - mb) / sb AS b FROM oc, s) SELECT tx, count(*) AS n, "
+    f"{rd('avg((a + b) * (a + b)) / 2', 5)} AS pc1, {rd('avg((a - b) * (a - b)) / 2', 5)} AS pc2 "
+    "FROM z GROUP BY tx",
+)
+def components_by_treatment(spark, sf):
+    from suite.inputs import orders
+
+    o = orders(spark, sf).withColumnRenamed("tx.group", "tx")
+    scores = reduce.pca(o, ["o_totalprice", "c_acctbal"], id_col="o_orderkey", carry=["tx"]).scores
+    return rounded(scores.groupBy("tx").agg(
+        F.count("*").alias("n"), F.avg(F.col("PC1") ** 2).alias("pc1"), F.avg(F.col("PC2") ** 2).alias("pc2")), 5)
+
+
 _P = "SELECT o_orderkey, o_totalprice, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey"
 
 
