@@ -639,8 +639,8 @@ def assignments_planted(spark, sf):
 # a group is n (log w - log 2π - log|S| / 2 - tr(S⁻¹ C) / 2), C its covariance and S with the ridge.
 @query(
     "gmm_criteria_planted",
-    f"WITH {_SUMS}, {_Z}, g AS (SELECT 3 AS k, least(CASE WHEN label = 0 THEN 0 WHEN label = 1 THEN 1 "
-    "ELSE 2 END) AS g, s0, s1 FROM z UNION ALL SELECT 1, 0, s0, s1 FROM z), "
+    f"WITH {_SUMS}, {_Z}, g AS (SELECT 3 AS k, CASE WHEN label = 0 THEN 0 WHEN label = 1 THEN 1 "
+    "ELSE 2 END AS g, s0, s1 FROM z UNION ALL SELECT 1, 0, s0, s1 FROM z), "
     "c AS (SELECT k, g, count(*) AS n, covar_pop(s0, s0) AS a, covar_pop(s1, s1) AS b, "
     "covar_pop(s0, s1) AS c FROM g GROUP BY k, g), "
     "d AS (SELECT *, (a + 1e-6) * (b + 1e-6) - c * c AS det, sum(n) OVER (PARTITION BY k) AS total FROM c), "

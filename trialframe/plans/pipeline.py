@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.columns import col, keep_existing, split_columns
+from trialframe.columns import keep_existing, split_columns
 from trialframe.operators import cluster as clustering
 from trialframe.operators import impute as imputing
 from trialframe.operators import quality, reduce, screen, validate
