@@ -80,18 +80,58 @@ def test_near_duplicates_edges(spark):
 def test_search_recall_and_scores(spark):
     x = planted(1500, 16, 4).astype(float)
     rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
-    got = partitions.search(rows, rows.where("vec_id % 20 = 0"), k=10, parts=8).collect()
-    x = x.astype(np.float32).astype(float)
     hits = 0
-    for q in range(0, 1500, 20):
+    # One level of 8 parts, then two levels of at most 6 x 6.
+    for leaf_rows, fan in ((200, 128), (40, 6)):
+        got = partitions.search(rows, rows.where("vec_id % 20 = 0"), k=10, leaf_rows=leaf_rows, fan=fan).collect()
+        assert recall(x.astype(np.float32).astype(float), got) >= 0.9
+
+
+def recall(x, got, k=10):
+    """Share of the true nearest found; ranks, scores and order are checked on the way."""
+    hits = 0
+    for q in range(0, len(x), 20):
         s = x @ x[q]
         s[q] = -np.inf
         own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
-        assert [r.rank for r in own] == list(range(1, 11))
+        assert [r.rank for r in own] == list(range(1, k + 1))
         assert all(abs(r.score - s[r.vec_id]) < 1e-9 for r in own)
         assert [(-r.score, r.vec_id) for r in own] == sorted((-r.score, r.vec_id) for r in own)
-        hits += len(set(np.argsort(-s)[:10]) & {r.vec_id for r in own})
-    assert hits / (75 * 10) >= 0.9
+        hits += len(set(np.argsort(-s)[:k]) & {r.vec_id for r in own})
+    return hits / (len(range(0, len(x), 20)) * k)
+
+
+def test_tree_of_two_levels_has_small_leaves(spark):
+    x = planted(3000, 8, 9).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    tree = partitions.fit_tree(rows, 8, 3000, leaf_rows=60, fan=8, sample=1000)
+    assert tree.parts == 8 and len(tree.subs) >= 6
+    leaf = tree.leaf(x)
+    names = tree.leaves()
+    assert len(set(names.tolist())) == len(names) >= 30 and set(leaf.tolist()) <= set(names.tolist())
+    assert np.bincount(leaf).max() <= 600
+    ranked = tree.ranked(x[:50])
+    assert all(sorted(r) == list(range(len(names))) for r in ranked.tolist())
+
+
+def test_search_compares_every_length_and_fills_short_answers(spark):
+    rng = np.random.default_rng(3)
+    sets = {8: (0, rng.normal(size=(300, 8))), 5: (1000, rng.normal(size=(100, 5))), 3: (2000, rng.normal(size=(7, 3))),
+            2: (3000, rng.normal(size=(40, 2)))}
+    x = {start + i: v.astype(np.float32).astype(float) for start, m in sets.values() for i, v in enumerate(m)}
+    # Leaves smaller than k, two lengths with routers, two without; one id comes forty times.
+    many = [(0, (np.ones(8) * j).tolist()) for j in range(2, 42)]
+    rows = frame(spark, [(i, v.tolist()) for i, v in x.items()] + many)
+    asked = frame(spark, [(i, v.tolist()) for i, v in x.items() if i % 20 == 0])
+    got = partitions.search(rows, asked, k=20, leaf_rows=16, sample=200, lengths=2).collect()
+    for q in (i for i in x if i % 20 == 0):
+        others = [i for i in x if i != q and len(x[i]) == len(x[q])]
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in own] == list(range(1, min(20, len(others)) + 1))
+        if len(x[q]) in (2, 3):
+            want = sorted(others, key=lambda i: (-(x[i] * x[q]).sum(), i))[:20]
+            assert [r.vec_id for r in own] == want
+        assert len(x[q]) != 8 or q == 0 or all(len(x[r.vec_id]) == 8 for r in own)
 
 
 def test_search_edges(spark):

@@ -2,12 +2,15 @@
 
 A neighbour graph of a bounded sample is cut into balanced parts; a small neural classifier
 learns the part of a vector, deals every row of the index to its most probable part, and routes
-a query to several parts, all of whose rows are scored exactly.  How many parts are searched
-follows from an audit: bounded sample queries against all rows, by brute force in blocks.
+a query to several parts, all of whose rows are scored exactly.  Large tables get a second level:
+every part is cut again by a graph and a classifier of its own, so that leaves stay small.  How
+many leaves are searched follows from an audit: bounded sample queries against all rows, by
+brute force in blocks.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trialframe.llm.common import store
+from trialframe.llm.common import mix, release, store
 from trialframe.llm.hnsw import _matrix, usable
 
 
@@ -73,7 +76,7 @@ def cut_balanced(x: np.ndarray, near: np.ndarray, parts: int, sweeps: int = 12,
 
 @dataclass
 class Router:
-    """One hidden layer; ``ranked`` gives the parts of each row, the most probable first."""
+    """One hidden layer; ``logits`` scores the parts of each row."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -86,10 +89,6 @@ class Router:
         h = np.maximum(0, ((x - self.mean) / self.scale) @ self.w1 + self.b1)
         return h @ self.w2 + self.b2
 
-    def ranked(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-self.logits(x), axis=1, kind="stable")
-
-
 def train_router(x: np.ndarray, near: np.ndarray, part: np.ndarray, parts: int, hidden: int = 128,
                  epochs: int = 40, rate: float = 2e-3, seed: int = 7) -> Router:
     """Learn the share of a vector's neighbours in each part, by Adam on the cross-entropy."""
@@ -126,11 +125,105 @@ def train_router(x: np.ndarray, near: np.ndarray, part: np.ndarray, parts: int,
     return r
 
 
+@dataclass
+class Tree:
+    """Two levels of routers; ``leaf`` numbers are part * fan + subpart, unsplit parts have subpart 0."""
+
+    top: Router
+    subs: dict[int, Router]
+    parts: int
+    fan: int
+
+    def leaves(self) -> np.ndarray:
+        return np.concatenate([p * self.fan + np.arange(len(self.subs[p].b2) if p in self.subs else 1)
+                               for p in range(self.parts)])
+
+    def part(self, x: np.ndarray) -> np.ndarray:
+        return self.top.logits(x).argmax(1) if len(x) else np.zeros(0, np.int64)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        part = self.part(x)
+        out = part * self.fan
+        for p in np.unique(part):
+            if int(p) in self.subs:
+                at = part == p
+                out[at] += self.subs[int(p)].logits(x[at]).argmax(1)
+        return out
+
+    def ranked(self, x: np.ndarray) -> np.ndarray:
+        """Positions in ``leaves`` per row, by falling joint probability of part and subpart."""
+        top = _log_softmax(self.top.logits(x))
+        joint = np.concatenate([top[:, p:p + 1] + (_log_softmax(self.subs[p].logits(x)) if p in self.subs else 0.0)
+                                for p in range(self.parts)], axis=1)
+        return np.argsort(-joint, axis=1, kind="stable")
+
+
+def _log_softmax(o: np.ndarray) -> np.ndarray:
+    o = o - o.max(1, keepdims=True)
+    return o - np.log(np.exp(o).sum(1, keepdims=True))
+
+
+def fit_router(x: np.ndarray, parts: int) -> Router:
+    """Neighbour graph, balanced cut and router of sampled rows; fewer parts where rows are few."""
+    parts = max(1, min(parts, len(x) // 32))
+    near = neighbour_graph(x, min(10, len(x) - 1)) if len(x) > 1 else np.zeros((1, 1), np.int64)
+    r = train_router(x, near, cut_balanced(x, near, parts) if parts > 1 else np.zeros(len(x), int), parts)
+    for name in ("mean", "scale", "w1", "b1", "w2", "b2"):
+        setattr(r, name, getattr(r, name).astype(np.float32))
+    return r
+
+
+def fit_tree(rows: DataFrame, dim: int, n: int, leaf_rows: int, fan: int, sample: int) -> Tree:
+    """Routers for ``n`` rows (vec_id, v) of one length, with about ``n / leaf_rows`` leaves.
+
+    Up to ``fan`` leaves one level is fitted on at most ``sample`` rows; beyond it every part gets a
+    router of its own, fitted in a task of its own on about ``sample`` of the part's rows.
+    """
+    want = -(-n // leaf_rows)
+    first = [F.xxhash64("vec_id"), F.col("vec_id"), F.col("v")]
+    x = _matrix(rows.select("vec_id", "v").orderBy(*first).limit(sample).toArrow().column("v"), dim)
+    top = fit_router(x, min(want, fan))
+    tree = Tree(top, {}, len(top.b2), fan)
+    if want <= fan:
+        return tree
+    shared = rows.sparkSession.sparkContext.broadcast(tree)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = shared.value.part(_matrix(batch.column("v"), dim))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(p, pa.int32())],
+                                             names=["vec_id", "v", "part"])
+
+    dealt = "vec_id long, v array<double>, part int"
+    counts = {r["part"]: r["count"] for r in rows.select("vec_id", "v").mapInArrow(parts, dealt)
+              .groupBy("part").count().collect()}  # at most ``fan`` rows
+    split = {p: c for p, c in counts.items() if c > leaf_rows}
+    if not split:
+        return tree
+    # A row's place in [0, 1) by a hash of id and vector; each part takes the share it needs.
+    place = (F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    rate = {p: min(1.0, sample / c) for p, c in split.items()}
+    wanted = F.create_map(*[F.lit(z) for p, s in rate.items() for z in (p, s)])
+    drawn = rows.select("vec_id", "v").where(place < max(rate.values())).mapInArrow(parts, dealt) \
+        .where(place < wanted[F.col("part")]).distinct()
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        p = key[0].as_py()
+        order = np.argsort(mix(t.column("vec_id").to_numpy().view(np.uint64)), kind="stable")[:sample]
+        r = fit_router(_matrix(t.column("v"), dim)[order], min(fan, -(-split[p] // leaf_rows)))
+        return pa.table({"part": pa.array([p], pa.int32()), "router": pa.array([pickle.dumps(r)], pa.binary())})
+
+    for r in drawn.groupBy("part").applyInArrow(fit, "part int, router binary").collect():
+        tree.subs[r["part"]] = pickle.loads(r["router"])  # at most ``fan`` small networks
+    return tree
+
+
 def best_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int):
-    """Per query the ``k`` rows of the largest inner product, its own id left out.
+    """Per query the positions and scores of the ``k`` rows of the largest inner product.
 
-    Candidates come from a matrix product; their scores are summed again row by row, so that
-    equal vectors have equal scores and ties go to the smaller id.
+    Rows with the query's own id are left out.  Candidates come from a matrix product; their
+    scores are summed again row by row, so that equal vectors have equal scores and ties go to
+    the smaller id.
     """
     s = q @ x.T
     for i in range(len(q)):
@@ -144,121 +237,178 @@ def best_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: i
         cand = cand[xid[cand] != qid[i]]
         score = (x[cand] * q[i]).sum(1)
         order = np.lexsort((xid[cand], -score))[:k]
-        yield xid[cand[order]], score[order]
+        yield cand[order], score[order]
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int = 16, sample: int = 8192,
+    vectors: DataFrame, queries: DataFrame, k: int = 20, leaf_rows: int = 1024, sample: int = 8192,
     audit: int = 128, target: float = 0.97, block_rows: int = 16_384, query_rows: int = 4_096,
+    fan: int = 128, lengths: int = 4,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest of ``vectors`` found for each of ``queries``.
 
     Both have vec_id and embedding; other columns are not used.  Nearness is the inner product in
     double precision; ties go to the smaller vec_id; rows with the query's own id are left out.
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor
-    rows without id, nor vectors of another length than most of the sample.  Equal rows among
+    rows without id.  A query is compared with the vectors of its own length.  Equal rows among
     the queries are asked once; repeated rows of ``vectors`` are found as often as they come.
 
-    The partition and the router are fitted on at most ``sample`` rows, the first by a hash of
-    the id; every row is indexed.  ``audit`` queries are compared with all rows by brute force,
-    and as many parts are searched as give a recall of ``target`` there.  A part is scored in
-    blocks of about ``block_rows`` rows by ``query_rows`` queries, so no task grows with a part.
+    The number of leaves grows with the rows (about ``leaf_rows`` each), in two levels of at most
+    ``fan`` parts; beyond ``fan`` squared leaves these grow instead.  Routers are fitted on at most
+    ``sample`` rows for the top and about as many per part; every row is indexed.  The ``lengths``
+    most frequent lengths of vectors have routers, any other is searched in full.  ``audit``
+    queries of a length are compared with all its rows by brute force, and as many leaves are
+    searched as give a recall of ``target`` there, or more where they hold too few rows; a query
+    that still has fewer than ``k`` results is compared with all other leaves.  A leaf is scored
+    in blocks of about ``block_rows`` rows by ``query_rows`` queries, so no task grows with it.
+
+    Broadcast: ``lengths`` trees of at most ``fan`` + 1 networks, each 512 bytes for every
+    dimension and part (59 MB a tree at 768 dimensions), and one count per leaf.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     v = F.col("embedding").cast("array<double>")
 
     def prepared(df: DataFrame) -> DataFrame:
-        return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")) \
+        return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim")) \
             .where(usable(F.col("v")) & F.col("vec_id").isNotNull())
 
     rows, asked = prepared(vectors), prepared(queries).distinct()
-    first = [F.xxhash64("vec_id"), F.col("vec_id"), F.col("v")]
-    fit = rows.orderBy(*first).limit(sample).toArrow()
-    if not len(fit):
-        return spark.createDataFrame([], schema)
-    sizes = np.array([len(a) for a in fit.column("v")])
-    dim = int(np.bincount(sizes).argmax())
-    rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    x = _matrix(fit.filter(pa.array(sizes == dim)).column("v"), dim)
-    parts = max(1, min(parts, len(x) // 32))
-    near = neighbour_graph(x, min(10, len(x) - 1)) if len(x) > 1 else np.zeros((1, 1), np.int64)
-    router = spark.sparkContext.broadcast(
-        train_router(x, near, cut_balanced(x, near, parts) if parts > 1 else np.zeros(len(x), int), parts))
+    common = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(lengths).collect()
+    trees = {r["dim"]: fit_tree(rows.where(F.col("dim") == r["dim"]), r["dim"], r["count"], leaf_rows, fan, sample)
+             for r in common if r["count"] > leaf_rows}
+    shared = spark.sparkContext.broadcast(trees)
+
+    def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            if int(dim) in shared.value:
+                at = np.flatnonzero(dims == dim)
+                yield int(dim), at, _matrix(batch.column("v").take(pa.array(at)), int(dim))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = router.value.ranked(_matrix(batch.column("v"), dim)) if len(batch) else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("v"),
-                 pa.array([o.tolist() for o in order], pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
-
-    dealt = "vec_id long, v array<double>, parts array<int>"
-    index = store(rows.mapInArrow(deal, dealt).withColumn("part", F.col("parts")[0]).drop("parts"), "index")
-    routed = store(asked.mapInArrow(deal, dealt), "queries")
+            leaf = np.zeros(len(batch), np.int32)
+            for dim, at, x in by_length(batch):
+                leaf[at] = shared.value[dim].leaf(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=[*batch.schema.names, "leaf"])
+
+    # The salt is stored with the row, so a lost task deals it to the same block again.
+    index = store(rows.mapInArrow(deal, "vec_id long, v array<double>, dim int, leaf int")
+                  .withColumn("salt", F.xxhash64(F.monotonically_increasing_id())), "index")
+    sizes = store(index.groupBy("dim", "leaf").agg(F.count("*").alias("rows")), "sizes")
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    plan = {dim: _audit(index, asked, sizes, tree, dim, k, audit, target, nearest) for dim, tree in trees.items()}
+    planned = spark.sparkContext.broadcast(plan)
 
-    # The audit: some queries against all rows, the best k of each task, then the best k of all.
-    some = routed.orderBy(*first).limit(audit).toArrow()
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves = [[0]] * len(batch)
+            for dim, at, x in by_length(batch):
+                tree, (probes, counts) = shared.value[dim], planned.value[dim]
+                names = tree.leaves()
+                for i in range(0, len(at), 256):
+                    order = tree.ranked(x[i:i + 256])
+                    # The query itself may be among the rows, hence one more than k.
+                    enough = (np.cumsum(counts[order], axis=1) <= k).sum(1) + 1
+                    for j, o, m in zip(at[i:i + 256], order, np.maximum(enough, probes)):
+                        leaves[j] = names[o[:m]].tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))],
+                                             names=[*batch.schema.names, "leaves"])
+
+    routed = store(asked.mapInArrow(route, "vec_id long, v array<double>, dim int, leaves array<int>"), "queries")
+    found = store(_scored(index, sizes, routed.select("vec_id", "v", "dim", F.explode("leaves").alias("leaf")),
+                          k, block_rows, query_rows, nearest), "found")
+    full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = store(routed.join(full, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        release(routed, short)
+        return found
+    rest = short.join(sizes.select("dim", "leaf"), "dim").where(~F.array_contains("leaves", F.col("leaf"))) \
+        .select("vec_id", "v", "dim", "leaf")
+    more = _scored(index, sizes, rest, k, block_rows, query_rows, nearest)
+    return found.unionByName(more).withColumn("rank", F.row_number().over(nearest)) \
+        .where(F.col("rank") <= k).select(*[c.split()[0] for c in schema.split(", ")])
+
+
+def _audit(index: DataFrame, asked: DataFrame, sizes: DataFrame, tree: Tree, dim: int, k: int, audit: int,
+           target: float, nearest) -> tuple[int, np.ndarray]:
+    """Leaves to search for the wanted recall, and the rows of each leaf in the order of ``leaves``."""
+    spark = index.sparkSession
+    names = tree.leaves()
+    own = {r["leaf"]: r["rows"] for r in sizes.where(F.col("dim") == dim).collect()}  # fan squared at most
+    counts = np.array([own.get(int(z), 0) for z in names], np.int64)
+    some = asked.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(audit).toArrow()
     if not len(some):
-        return spark.createDataFrame([], schema)
-    known = spark.sparkContext.broadcast(
-        (some.column("vec_id").to_numpy(), _matrix(some.column("v"), dim)))
+        return 1, counts
+    q = _matrix(some.column("v"), dim)
+    known = spark.sparkContext.broadcast((some.column("vec_id").to_numpy(), q))
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = known.value
+        qid, q_ = known.value
         for batch in batches:
             if not len(batch):
                 continue
-            xid, part = batch.column("vec_id").to_numpy(), batch.column("part").to_numpy()
-            place = {int(i): int(p) for i, p in zip(xid, part)}
-            found = [(int(a), int(b), float(s)) for a, (ids, scores) in
-                     zip(qid, best_of(q, qid, _matrix(batch.column("v"), dim), xid, k))
-                     for b, s in zip(ids, scores)]
-            if found:
-                a, b, s = zip(*found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.array(s), pa.array([place[i] for i in b], pa.int32())],
-                    names=["query_id", "vec_id", "score", "part"])
+            xid, leaf = batch.column("vec_id").to_numpy(), batch.column("leaf").to_numpy()
+            found = list(best_of(q_, qid, _matrix(batch.column("v"), dim), xid, k))
+            at = np.concatenate([f[0] for f in found])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(len(qid)), [len(f[0]) for f in found])), pa.array(xid[at]),
+                 pa.array(np.concatenate([f[1] for f in found])), pa.array(leaf[at], pa.int32())],
+                names=["query_id", "vec_id", "score", "leaf"])
 
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    truth = index.mapInArrow(brute, "query_id long, vec_id long, score double, part int") \
+    # The best k of each batch, then the best k of all; query_id is the place in the audit here.
+    truth = index.where(F.col("dim") == dim).select("vec_id", "v", "leaf") \
+        .mapInArrow(brute, "query_id long, vec_id long, score double, leaf int") \
         .withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k) \
-        .select("query_id", "part").toArrow()
-    order = {int(i): list(p) for i, p in zip(some.column("vec_id").to_pylist(), some.column("parts").to_pylist())}
-    places = np.array([order[q].index(p) for q, p in
-                       zip(truth.column("query_id").to_pylist(), truth.column("part").to_pylist())])
-    probes = parts
-    if len(places):
-        share = np.cumsum(np.bincount(places, minlength=parts)) / len(places)
-        probes = int(np.argmax(share >= target)) + 1
-
-    counts = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # one per part
-    blocks = F.element_at(F.create_map(*[F.lit(z) for p in range(parts) for z in
-                                         (p, max(1, -(-counts.get(p, 0) // block_rows)))]), F.col("part"))
-    halves = max(1, -(-routed.count() // query_rows))
-    at = F.pmod(F.xxhash64("vec_id", "v"), blocks.cast("long")).cast("int").alias("block")
-    held = index.select("vec_id", "v", "part", at,
-                        F.explode(F.sequence(F.lit(0), F.lit(halves - 1))).alias("half"))
-    half = F.pmod(F.xxhash64("vec_id"), F.lit(halves)).cast("int").alias("half")
-    sent = routed.select(F.col("vec_id"), "v", half,
-                         F.explode(F.slice("parts", 1, probes)).alias("part")) \
-        .select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-
-    def score(rows_: pa.Table, asked_: pa.Table) -> pa.Table:
+        .select("query_id", "leaf").toArrow()
+    if not len(truth):
+        return 1, counts
+    place = np.empty((len(q), len(names)), np.int64)
+    np.put_along_axis(place, tree.ranked(q), np.arange(len(names))[None, :], axis=1)
+    at = {int(z): i for i, z in enumerate(names)}
+    places = place[truth.column("query_id").to_numpy(), [at[z] for z in truth.column("leaf").to_pylist()]]
+    share = np.cumsum(np.bincount(places, minlength=len(names))) / len(places)
+    return int(np.argmax(share >= target)) + 1, counts
+
+
+def _scored(index: DataFrame, sizes: DataFrame, sent: DataFrame, k: int, block_rows: int, query_rows: int,
+            nearest) -> DataFrame:
+    """The best ``k`` of the leaves that each query (vec_id, v, dim, leaf) is sent to.
+
+    Only leaves that are asked are dealt, in as many copies as their own queries need.
+    """
+    keys = ["dim", "leaf"]
+    cut = store(sizes.join(sent.groupBy(*keys).agg(F.count("*").alias("asked")), keys).select(
+        *keys, F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"),
+        F.ceil(F.col("asked") / query_rows).cast("int").alias("halves")), "cut")
+
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    held = index.join(cut, keys).select(
+        *keys, "vec_id", "v", F.pmod("salt", F.col("blocks").cast("long")).cast("int").alias("block"),
+        each("halves").alias("half"))
+    to = sent.join(cut, keys).select(
+        *keys, "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.col("halves").cast("long")).cast("int").alias("half"),
+        each("blocks").alias("block"))
+
+    def score(key: tuple, rows_: pa.Table, asked_: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if len(rows_) and len(asked_):
+            dim = key[0].as_py()
             xid, x_ = rows_.column("vec_id").to_numpy(), _matrix(rows_.column("v"), dim)
             for i in range(0, len(asked_), 512):
                 part = asked_.slice(i, 512)
                 qid = part.column("vec_id").to_numpy()
-                out += [(int(a), ids.tolist(), s.tolist()) for a, (ids, s) in
-                        zip(qid, best_of(_matrix(part.column("v"), dim), qid, x_, xid, k)) if len(ids)]
+                out += [(int(a), xid[at].tolist(), s.tolist()) for a, (at, s) in
+                        zip(qid, best_of(_matrix(part.column("v"), dim), qid, x_, xid, k)) if len(at)]
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()),
                          "ids": pa.array([o[1] for o in out], pa.list_(pa.int64())),
                          "scores": pa.array([o[2] for o in out], pa.list_(pa.float64()))})
 
-    keys = ["part", "block", "half"]
-    found = held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(
+    keys = [*keys, "block", "half"]
+    found = held.groupBy(*keys).cogroup(to.groupBy(*keys)).applyInArrow(
         score, "query_id long, ids array<long>, scores array<double>")
     return found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("z")).select(
         "query_id", F.col("z.ids").alias("vec_id"), F.col("z.scores").alias("score")) \
