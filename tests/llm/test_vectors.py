@@ -81,9 +81,10 @@ def test_search_recall_and_scores(spark):
     x = planted(1500, 16, 4).astype(float)
     rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
     hits = 0
-    # One level of 8 parts, then two levels of at most 6 x 6.
-    for leaf_rows, fan in ((200, 128), (40, 6)):
-        got = partitions.search(rows, rows.where("vec_id % 20 = 0"), k=10, leaf_rows=leaf_rows, fan=fan).collect()
+    # One level of 8 parts, then two levels of at most 6 x 6 in bundles, blocks and halves.
+    for leaf_rows, fan, more in ((200, 128, {}), (40, 6, {"block_rows": 150, "query_rows": 30})):
+        got = partitions.search(rows, rows.where("vec_id % 20 = 0"), k=10, leaf_rows=leaf_rows, fan=fan,
+                                **more).collect()
         assert recall(x.astype(np.float32).astype(float), got) >= 0.9
 
 

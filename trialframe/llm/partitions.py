@@ -259,8 +259,9 @@ def search(
     most frequent lengths of vectors have routers, any other is searched in full.  ``audit``
     queries of a length are compared with all its rows by brute force, and as many leaves are
     searched as give a recall of ``target`` there, or more where they hold too few rows; a query
-    that still has fewer than ``k`` results is compared with all other leaves.  A leaf is scored
-    in blocks of about ``block_rows`` rows by ``query_rows`` queries, so no task grows with it.
+    that still has fewer than ``k`` results is compared with all other leaves.  Neighbouring leaves
+    are scored in one task, which gives one answer per query; a task holds about ``block_rows`` rows
+    (a larger leaf is cut) and ``query_rows`` queries.
 
     Broadcast: ``lengths`` trees of at most ``fan`` + 1 networks, each 512 bytes for every
     dimension and part (59 MB a tree at 768 dimensions), and one count per leaf.
@@ -296,36 +297,48 @@ def search(
     # The salt is stored with the row, so a lost task deals it to the same block again.
     index = store(rows.mapInArrow(deal, "vec_id long, v array<double>, dim int, leaf int")
                   .withColumn("salt", F.xxhash64(F.monotonically_increasing_id())), "index")
-    sizes = store(index.groupBy("dim", "leaf").agg(F.count("*").alias("rows")), "sizes")
+    # Neighbouring leaves make a bundle of about block_rows rows: one task, one answer per query.
+    before = Window.partitionBy("dim").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = store(index.groupBy("dim", "leaf").agg(F.count("*").alias("rows")).withColumn(
+        "bundle", F.floor(F.coalesce(F.sum("rows").over(before), F.lit(0)) / block_rows).cast("int")), "sizes")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     plan = {dim: _audit(index, asked, sizes, tree, dim, k, audit, target, nearest) for dim, tree in trees.items()}
     planned = spark.sparkContext.broadcast(plan)
+    sent_schema = "vec_id long, v array<double>, dim int, bundle int, leaves array<int>"
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterator[pa.RecordBatch], others: bool = False) -> Iterator[pa.RecordBatch]:
+        """A row for every query and bundle with the leaves to search there, or with all others."""
         for batch in batches:
-            leaves = [[0]] * len(batch)
+            dims = batch.column("dim").to_numpy()
+            plain = [] if others else [i for i, d in enumerate(dims) if int(d) not in shared.value]
+            row, bundle, leaves = list(plain), [0] * len(plain), [[0]] * len(plain)
             for dim, at, x in by_length(batch):
                 tree, (probes, counts) = shared.value[dim], planned.value[dim]
                 names = tree.leaves()
+                home = (np.cumsum(counts) - counts) // block_rows
                 for i in range(0, len(at), 256):
                     order = tree.ranked(x[i:i + 256])
                     # The query itself may be among the rows, hence one more than k.
                     enough = (np.cumsum(counts[order], axis=1) <= k).sum(1) + 1
                     for j, o, m in zip(at[i:i + 256], order, np.maximum(enough, probes)):
-                        leaves[j] = names[o[:m]].tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))],
-                                             names=[*batch.schema.names, "leaves"])
-
-    routed = store(asked.mapInArrow(route, "vec_id long, v array<double>, dim int, leaves array<int>"), "queries")
-    found = store(_scored(index, sizes, routed.select("vec_id", "v", "dim", F.explode("leaves").alias("leaf")),
-                          k, block_rows, query_rows, nearest), "found")
+                        o = np.sort(o[m:] if others else o[:m])
+                        for part in np.split(o, np.flatnonzero(np.diff(home[o])) + 1) if len(o) else []:
+                            row.append(j)
+                            bundle.append(int(home[part[0]]))
+                            leaves.append(names[part].tolist())
+            if row:
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.take(pa.array(row, pa.int64())).columns, pa.array(bundle, pa.int32()),
+                     pa.array(leaves, pa.list_(pa.int32()))], names=[*batch.schema.names, "bundle", "leaves"])
+
+    sent = store(asked.mapInArrow(route, sent_schema), "queries")
+    found = store(_scored(index, sizes, sent, k, block_rows, query_rows, nearest), "found")
     full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
-    short = store(routed.join(full, "vec_id", "left_anti"), "short")
-    if short.isEmpty():
-        release(routed, short)
+    rest = store(asked.join(full, "vec_id", "left_anti").mapInArrow(
+        lambda batches: route(batches, True), sent_schema), "rest")
+    if rest.isEmpty():
+        release(sent, rest)
         return found
-    rest = short.join(sizes.select("dim", "leaf"), "dim").where(~F.array_contains("leaves", F.col("leaf"))) \
-        .select("vec_id", "v", "dim", "leaf")
     more = _scored(index, sizes, rest, k, block_rows, query_rows, nearest)
     return found.unionByName(more).withColumn("rank", F.row_number().over(nearest)) \
         .where(F.col("rank") <= k).select(*[c.split()[0] for c in schema.split(", ")])
@@ -374,40 +387,54 @@ def _audit(index: DataFrame, asked: DataFrame, sizes: DataFrame, tree: Tree, dim
 
 def _scored(index: DataFrame, sizes: DataFrame, sent: DataFrame, k: int, block_rows: int, query_rows: int,
             nearest) -> DataFrame:
-    """The best ``k`` of the leaves that each query (vec_id, v, dim, leaf) is sent to.
+    """The best ``k`` of the leaves that each query (vec_id, v, dim, bundle, leaves) is sent to.
 
-    Only leaves that are asked are dealt, in as many copies as their own queries need.
+    Only bundles that are asked are dealt, in as many copies as their own queries need.
     """
-    keys = ["dim", "leaf"]
-    cut = store(sizes.join(sent.groupBy(*keys).agg(F.count("*").alias("asked")), keys).select(
-        *keys, F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"),
+    home = ["dim", "bundle"]
+    cut = store(sizes.groupBy(*home).agg(F.sum("rows").alias("rows")).join(
+        sent.groupBy(*home).agg(F.count("*").alias("asked")), home).select(
+        *home, F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"),
         F.ceil(F.col("asked") / query_rows).cast("int").alias("halves")), "cut")
 
     def each(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    held = index.join(cut, keys).select(
-        *keys, "vec_id", "v", F.pmod("salt", F.col("blocks").cast("long")).cast("int").alias("block"),
+    held = index.join(sizes.select("dim", "leaf", "bundle"), ["dim", "leaf"]).join(cut, home).select(
+        *home, "vec_id", "v", "leaf", F.pmod("salt", F.col("blocks").cast("long")).cast("int").alias("block"),
         each("halves").alias("half"))
-    to = sent.join(cut, keys).select(
-        *keys, "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.col("halves").cast("long")).cast("int").alias("half"),
+    to = sent.join(cut, home).select(
+        *home, "vec_id", "v", "leaves",
+        F.pmod(F.xxhash64("vec_id", "v"), F.col("halves").cast("long")).cast("int").alias("half"),
         each("blocks").alias("block"))
 
     def score(key: tuple, rows_: pa.Table, asked_: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if len(rows_) and len(asked_):
             dim = key[0].as_py()
-            xid, x_ = rows_.column("vec_id").to_numpy(), _matrix(rows_.column("v"), dim)
-            for i in range(0, len(asked_), 512):
-                part = asked_.slice(i, 512)
-                qid = part.column("vec_id").to_numpy()
-                out += [(int(a), xid[at].tolist(), s.tolist()) for a, (at, s) in
-                        zip(qid, best_of(_matrix(part.column("v"), dim), qid, x_, xid, k)) if len(at)]
+            xid, leaf = rows_.column("vec_id").to_numpy(), rows_.column("leaf").to_numpy()
+            x = _matrix(rows_.column("v"), dim)
+            qid, q = asked_.column("vec_id").to_numpy(), _matrix(asked_.column("v"), dim)
+            wanted = asked_.column("leaves").combine_chunks()
+            asker = np.repeat(np.arange(len(qid)), wanted.value_lengths().to_numpy())
+            wanted = wanted.flatten().to_numpy()
+            best: list[list[tuple]] = [[] for _ in qid]
+            for z in np.unique(leaf):
+                at, who = np.flatnonzero(leaf == z), asker[wanted == z]
+                for i in range(0, len(who), 512):
+                    w = who[i:i + 512]
+                    for a, (pos, s) in zip(w, best_of(q[w], qid[w], x[at], xid[at], k)):
+                        best[a].append((xid[at[pos]], s))
+            for a, parts in enumerate(best):
+                ids, s = (np.concatenate([c[i] for c in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
+                top = np.lexsort((ids, -s))[:k]
+                if len(top):
+                    out.append((int(qid[a]), ids[top].tolist(), s[top].tolist()))
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()),
                          "ids": pa.array([o[1] for o in out], pa.list_(pa.int64())),
                          "scores": pa.array([o[2] for o in out], pa.list_(pa.float64()))})
 
-    keys = [*keys, "block", "half"]
+    keys = [*home, "block", "half"]
     found = held.groupBy(*keys).cogroup(to.groupBy(*keys)).applyInArrow(
         score, "query_id long, ids array<long>, scores array<double>")
     return found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("z")).select(
