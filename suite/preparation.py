@@ -911,10 +911,51 @@ def applied_transformations(spark, sf):
     return rounded(quality.apply_transformations(e, plan)[1].select("variable", "type", "offset"))
 
 
-@query("yeo_johnson")
+def _power_grid(name: str, values: str, source: str = "") -> str:
+    """Best exponent per variable on a grid of g, as two common table expressions."""
+    up, down = "ln(1 + abs(x))", "(2 - g)"
+    psi = (f"CASE WHEN x >= 0 THEN CASE WHEN g = 0 THEN {up} ELSE (exp({up} * g) - 1) / g END ELSE CASE WHEN g = 2 "
+           f"THEN -{up} ELSE -(exp({up} * {down}) - 1) / {down} END END")
+    return (f"{name} AS (SELECT variable, g, -n / 2.0 * ln(v) + (g - 1) * j AS fit FROM (SELECT variable, g, "
+            f"var_pop({psi}) AS v, count(x) AS n, sum(sign(x) * {up}) AS j FROM (SELECT s.variable, x, {values} AS g "
+            f"FROM sv s {source}) GROUP BY variable, g)), "
+            f"{name}_best AS (SELECT variable, arg_max(g, fit) AS b FROM {name} GROUP BY variable)")
+
+
+_POWER = (
+    "WITH sv AS (SELECT event_id, 'value' AS variable, value AS x FROM events UNION ALL "
+    "SELECT event_id, 'squared', value * value FROM events), "
+    + _power_grid("ga", "(i - 24) / 4.0::DOUBLE", ", range(49) t(i)") + ", "
+    + _power_grid("gb", "b + (i - 8) / 32.0::DOUBLE", "JOIN ga_best USING (variable), range(17) t(i)") + ", "
+    + _power_grid("gc", "b + (i - 8) / 256.0::DOUBLE", "JOIN gb_best USING (variable), range(17) t(i)") + ", "
+    "la AS (SELECT variable, b + CASE WHEN lo + hi - 2 * top < 0 THEN (lo - hi) / (lo + hi - 2 * top) / 512 ELSE 0 END "
+    "AS lam FROM (SELECT variable, b, max(CASE WHEN g = b THEN fit END) AS top, max(CASE WHEN g = b - 1 / 256.0::DOUBLE "
+    "THEN fit END) AS lo, max(CASE WHEN g = b + 1 / 256.0::DOUBLE THEN fit END) AS hi FROM gc JOIN gc_best "
+    "USING (variable) GROUP BY variable, b)), "
+    "ps AS (SELECT event_id, variable, CASE WHEN x >= 0 THEN (exp(ln(1 + abs(x)) * lam) - 1) / lam ELSE "
+    "-(exp(ln(1 + abs(x)) * (2 - lam)) - 1) / (2 - lam) END AS y FROM sv JOIN la USING (variable)), "
+    "ms AS (SELECT variable, avg(y) AS m, stddev_pop(y) AS s FROM ps GROUP BY variable) "
+)
+
+
+@query(
+    "yeo_johnson",
+    _POWER + "SELECT event_id, " + ", ".join(
+        rd(f"max(CASE WHEN variable = '{v}' THEN (y - m) / s END)", 3) + f" AS {v}" for v in SHAPES)
+    + " FROM ps JOIN ms USING (variable) GROUP BY event_id",
+)
 def yeo_johnson(spark, sf):
-    return quality.apply_transformations(
-        _shapes(spark, sf), {"value": "yeo-johnson", "squared": "yeo-johnson"}, "event_id")[0]
+    """Both variables at their likeliest exponent, standardised, on the grids of the SQL."""
+    return rounded(quality.apply_transformations(
+        _shapes(spark, sf), {"value": "yeo-johnson", "squared": "yeo-johnson"}, "event_id")[0], 3)
+
+
+@query("yeo_johnson_exponents",
+       _POWER + f"SELECT variable, 'yeo-johnson' AS type, {rd('lam')} AS lambda FROM la")
+def yeo_johnson_exponents(spark, sf):
+    return rounded(quality.apply_transformations(
+        _shapes(spark, sf), {"value": "yeo-johnson", "squared": "yeo-johnson"}, "event_id")[1]
+        .select("variable", "type", "lambda"))
 
 
 @query("transform_effect")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import trialframe as tf
-from trialframe.operators import explore, impute, knn, missing, quality, reduce, screen
+from trialframe.operators import explore, impute, knn, missing, power, quality, reduce, screen
 from trialframe.plans import moments, onepass
 from trialframe.plans.quantiles import exact_quantiles
 from trialframe.sources import dictionary as words
@@ -424,6 +424,31 @@ def test_yeo_johnson_lambda(spark):
     assert fit["k"]["lambda"] == 1.0
 
 
+def test_yeo_johnson_gaps_blocks_and_overflow(spark, monkeypatch):
+    from trialframe.plans import blocks
+
+    rng = np.random.default_rng(4)
+    x = rng.gamma(2.0, 3.0, size=3000) - 2
+    gaps = [None if i % 7 == 0 else float(v) for i, v in enumerate(x)]
+    huge = [float(v) * 1e60 for v in rng.normal(size=3000)]
+    df = spark.createDataFrame(list(zip(gaps, huge, [None] * 3000, [3.0] + [None] * 2999)),
+                               "g double, huge double, none double, once double").repartition(5)
+    # Small blocks, and sums added level by level in Spark.
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 256)
+    monkeypatch.setattr(blocks, "DRIVER_BYTES", 1)
+    monkeypatch.setattr(blocks, "TASK_BYTES", 1 << 14)
+    fit = quality.fit_yeo_johnson(df, ["g", "huge", "none", "once"])
+    kept = np.array([v for v in gaps if v is not None])
+    lam = _lambda_by_hand(kept)
+    assert fit["g"]["lambda"] == pytest.approx(lam, abs=1e-4)
+    y = power.transformed_values(kept, np.array([fit["g"]["lambda"]]))[0]
+    assert (fit["g"]["mean"], fit["g"]["sd"]) == pytest.approx((y.mean(), y.std()))
+    assert np.isfinite([fit["huge"][k] for k in ("lambda", "mean", "sd")]).all()
+    assert fit["none"] == {"lambda": 1.0, "mean": None, "sd": 1.0}
+    assert fit["once"] == {"lambda": 1.0, "mean": 3.0, "sd": 1.0}
+    assert quality.fit_yeo_johnson(df, []) == {}
+
+
 def test_scaling_edge_cases(spark):
     df = spark.createDataFrame([(1.0, 3.0, None), (1.0, 5.0, None), (1.0, None, None)],
                                "flat double, x double, empty double")
