@@ -1129,6 +1129,22 @@ def famd_variance(spark, sf):
     return rounded(fit.variance)
 
 
+@query(
+    "famd_many_levels",
+    "WITH li AS (SELECT l_partkey, CAST(l_quantity AS DOUBLE) AS x FROM lineitem WHERE l_partkey IS NOT NULL AND "
+    "l_quantity IS NOT NULL), m AS (SELECT count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM li), "
+    "g AS (SELECT l_partkey, count(*) AS c, avg(x) AS a FROM li GROUP BY l_partkey), "
+    "e AS (SELECT sqrt(sum(c * (a - m) * (a - m)) / max(n * v)) AS eta, count(*) AS levels FROM g, m) "
+    f"SELECT CAST(1 AS INTEGER) AS component, {rd('(1 + eta) / levels', 9)} AS explained_variance, "
+    f"{rd('(1 + eta) / levels', 9)} AS cumulative_variance FROM e",
+)
+def famd_many_levels(spark, sf):
+    """A number and a variable of as many levels as there are parts: the leading component."""
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").cast("double").alias("x"))
+    return rounded(reduce.famd(li, ["x"], ["part"], 1).variance, 9)
+
+
 @query("famd_scores")
 def famd_scores(spark, sf):
     from suite.inputs import orders

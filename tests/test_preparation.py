@@ -551,6 +551,51 @@ def test_famd_without_complete_rows(spark):
         reduce.famd(df)
 
 
+def _mixed(n, levels, seed):
+    rng = np.random.default_rng(seed)
+    city = rng.integers(0, levels, n)
+    effect = rng.normal(size=levels)
+    return pd.DataFrame({
+        "id": np.arange(n), "a": effect[city] + rng.normal(size=n), "b": rng.normal(size=n),
+        "flat": 1.0, "city": [f"c{v}" for v in city],
+        "size": np.where(effect[city] + rng.normal(size=n) > 0, "big", "small")})
+
+
+def test_famd_by_products_equals_the_covariance_way(spark):
+    df = spark.createDataFrame(_mixed(600, 12, 5)).repartition(3)
+    # Beyond the third, components have equal variance here: any basis of them will do.
+    want = reduce.famd(df, k=3, id_col="id")
+    got = reduce.famd(df, k=3, id_col="id", covariance_levels=0)
+    for a, b, keys in ((want.variance, got.variance, ["component"]),
+                       (want.loadings, got.loadings, ["variable", "component"]),
+                       (want.scores, got.scores, ["id"])):
+        a, b = (t.toPandas().sort_values(keys).reset_index(drop=True) for t in (a, b))
+        pd.testing.assert_frame_equal(a, b[a.columns], rtol=1e-6, atol=1e-7)
+    with pytest.raises(ValueError, match="more than 5 levels"):
+        reduce.famd(df, k=2, max_levels=5)
+
+
+def test_famd_of_five_thousand_levels(spark):
+    pdf = _mixed(15_000, 5_000, 8)
+    fit = reduce.famd(spark.createDataFrame(pdf), ["a", "b"], ["city", "size"], 2, "id")
+    p, x = pdf["city"].nunique(), pdf[["a", "b"]]
+    z = (x - x.mean()) / x.std(ddof=0)
+    parts = [z.to_numpy()]
+    for c in ("city", "size"):
+        mark = pd.get_dummies(pdf[c]).to_numpy(dtype=np.float64)
+        share = mark.mean(axis=0)
+        parts.append((mark - share) / np.sqrt(share))
+    m = np.hstack(parts)
+    v = np.random.default_rng(0).normal(size=(m.shape[1], 12))
+    for _ in range(60):
+        v = np.linalg.qr(m.T @ (m @ v))[0]
+    top = np.linalg.eigvalsh(v.T @ (m.T @ (m @ v)))[::-1][:2] / len(pdf) / (2 + p)
+    got = [r["explained_variance"] for r in fit.variance.orderBy("component").collect()]
+    assert got == pytest.approx(list(top), rel=1e-6)
+    one = fit.scores.toPandas()
+    assert len(one) == len(pdf) and one["Dim1"].var(ddof=0) == pytest.approx(top[0] * (2 + p), rel=1e-6)
+
+
 def test_famd_inertia_and_coordinates(spark):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"id": range(500), "a": rng.normal(size=500), "b": rng.normal(size=500),

@@ -1,8 +1,9 @@
-"""PCA and factor analysis of mixed data, on MLlib's PCA.
+"""PCA and factor analysis of mixed data.
 
 MLlib finds the components from the covariance (one aggregation of p × p numbers).  Columns
 are centred and scaled beforehand by expressions, since MLlib's PCA does not centre what it
-transforms.  Scores stay with their rows and ids.
+transforms.  Where categorical variables have many levels, the covariance is not formed
+(``levels.py``).  Scores stay with their rows and ids.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 
 from trialframe.columns import col, complete_cases, num, resolve_columns, split_columns
 from trialframe.functions.shape import correlation_of, ratio
+from trialframe.operators.levels import fit_levels
 from trialframe.plans.onepass import fitted, long_strings, per_variable
 from trialframe.sources.dictionary import describe_variables
 
-MAX_LEVELS = 1_000
+#: More levels than this in total are analysed without their covariance; results are equal.
+COVARIANCE_LEVELS = 1_000
 
 
 @dataclass
@@ -113,10 +116,16 @@ def famd(
     cat_cols=None,
     k: int = 10,
     id_col: str | None = None,
+    covariance_levels: int = COVARIANCE_LEVELS,
+    max_levels: int = 200_000,
 ) -> Reduction:
     """FAMD (Pagès 2004) on complete cases: PCA of z-scored numeric columns together with
     indicators (1[x = level] − p) / √p.
 
+    Up to ``covariance_levels`` levels in total the components come from the covariance, beyond it
+    from products with it, to a residual of 1e-9.  More than ``max_levels`` are an error: such
+    a column identifies rows, and the driver holds about 15 (k + 8) numbers a level.
+
     The loadings are the variable coordinates: the correlation with each dimension for a
     numeric variable, the correlation ratio η² for a categorical one.
     """
@@ -134,28 +143,30 @@ def famd(
         for c in nums:
             if fit[c]["s"]:
                 features.append((c, (num(c) - fit[c]["m"]) / fit[c]["s"]))
+    levels: list[tuple[str, str, int]] = []
     if cats:
         counted = long_strings(whole, cats).groupBy("variable", "value").agg(
             F.count("*").alias("m")
         )
-        levels = counted.limit(MAX_LEVELS + 1).collect()
-        if len(levels) > MAX_LEVELS:
+        levels = sorted(tuple(r) for r in counted.limit(max_levels + 1).collect())
+        if len(levels) > max_levels:
             raise ValueError(
-                f"more than {MAX_LEVELS} levels: the covariance is (levels × levels); "
-                "an id-like column does not belong in FAMD"
+                f"more than {max_levels} levels: an id-like column does not belong in FAMD"
             )
-        for r in sorted(levels, key=lambda r: (r["variable"], r["value"])):
-            share = r["m"] / n
-            mark = (col(r["variable"]).cast("string") == F.lit(r["value"])).cast("double")
-            features.append((r["variable"], (mark - share) / share**0.5))
-    if not features:
+    if not features and not levels:
         raise ValueError("no variable with spread for FAMD")
-    rank = len([c for c in nums if any(c == f for f, _ in features)]) + sum(
-        max(0, sum(1 for f, _ in features if f == c) - 1) for c in cats
-    )
+    rank = len(features) + len(levels) - len(cats)
     k = max(1, min(k, rank, n - 1))
     carried = [*keep, *[c for c in (*nums, *cats)]]
-    scores, _, ratios = _fit(whole, carried, features, k, "Dim", n)
+    if len(levels) > covariance_levels:
+        scores, ratios = fit_levels(
+            whole, carried, [e for _, e in features], cats, levels, k, n, "Dim")
+    else:
+        for name, value, m in levels:
+            share = m / n
+            mark = (col(name).cast("string") == F.lit(value)).cast("double")
+            features.append((name, (mark - share) / share**0.5))
+        scores, _, ratios = _fit(whole, carried, features, k, "Dim", n)
     coordinates = _coordinates(scores, nums, cats, k)
     return Reduction(
         scores.select(*[col(c) for c in keep], *[f"Dim{i + 1}" for i in range(k)]),
