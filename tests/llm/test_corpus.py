@@ -122,6 +122,21 @@ def test_refit_is_newton_over_all_rows(spark):
         assert np.allclose(w[k], quality.fit_logistic(x[rows], y[rows].astype(float)), atol=1e-4)
 
 
+def test_quality_exchange_takes_all_documents_not_fitted_on(spark, sf, documents, monkeypatch):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    seen = {}
+    learn = quality.co_train
+
+    def watched(xt, xm, y, pool, aside, rounds):
+        seen.update(fitted=len(y), pool=pool.count())
+        return learn(xt, xm, y, pool, aside, rounds)
+
+    monkeypatch.setattr(quality, "co_train", watched)
+    model = quality.train(documents, labels, max_labelled=40, rounds=1)
+    assert seen == {"fitted": 40, "pool": documents.count() - 40}
+    assert quality.score_quality(documents, model).where("score between 0 and 1").count() == documents.count()
+
+
 def test_quality_edges(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     docs = docs_of([(1, None, None, None), (1, "", "", ""), (None, "a", "en", "s")])

@@ -338,8 +338,9 @@ def _view(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, rounds: int = 5) -> Model:
-    """Fit on the first labelled ids by hash and on all unlabelled documents.
+    """Fit on the first labelled ids by hash; all other documents take part in the exchange.
 
+    Labels beyond ``max_labelled`` are not used, their documents are like unlabelled ones.
     ``labels``: doc_id, quality (0/1).  Of several labels of an id the lowest counts; null ids
     and null labels are left out.  Every fourth labelled document is kept aside.
     """
@@ -360,7 +361,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, rounds
 
     xt, xm = matrix("xt", TEXT_WIDTH), matrix("xm", META_WIDTH)
     place = mix(np.array(rows.column("doc_id").to_pylist(), np.int64).view(np.uint64)) % np.uint64(4)
-    pool = _view(docs).join(known.select("doc_id"), "doc_id", "left_anti") \
+    pool = _view(docs).join(chosen.select("doc_id"), "doc_id", "left_anti") \
         .select("*", F.lit(None).cast("int").alias("quality"), key).mapInArrow(_features, schema)
     return co_train(xt, xm, y, pool.select("key", "xt", "xm"), place == 0, rounds)
 
