@@ -596,6 +596,29 @@ def test_famd_of_five_thousand_levels(spark):
     assert len(one) == len(pdf) and one["Dim1"].var(ddof=0) == pytest.approx(top[0] * (2 + p), rel=1e-6)
 
 
+def test_famd_of_one_large_variable_keeps_its_levels_in_a_table(spark):
+    df = spark.createDataFrame(_mixed(600, 12, 5)).repartition(3)
+    want = reduce.famd(df, k=2, id_col="id")
+    got = reduce.famd(df, k=2, id_col="id", covariance_levels=5)
+    for a, b, keys in ((want.variance, got.variance, ["component"]),
+                       (want.loadings, got.loadings, ["variable", "component"]),
+                       (want.scores, got.scores, ["id"])):
+        a, b = (t.toPandas().sort_values(keys).reset_index(drop=True) for t in (a, b))
+        pd.testing.assert_frame_equal(a, b[a.columns], rtol=1e-6, atol=1e-7)
+
+
+def test_famd_of_more_levels_than_the_driver_takes(spark):
+    n = 210_000
+    df = spark.range(2 * n).select((F.col("id") % n).cast("string").alias("part"),
+                                   (F.col("id") % 7 + F.col("id") % n % 3).cast("double").alias("x"))
+    i = np.arange(2 * n)
+    x = (i % 7 + i % n % 3).astype(float)
+    mean = (x[:n] + x[n:]) / 2
+    eta = math.sqrt(2 * ((mean - x.mean()) ** 2).sum() / (2 * n * x.var()))
+    got = reduce.famd(df, ["x"], ["part"], 1).variance.first()["explained_variance"]
+    assert got == pytest.approx((1 + eta) / n, rel=1e-9)
+
+
 def test_famd_inertia_and_coordinates(spark):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"id": range(500), "a": rng.normal(size=500), "b": rng.normal(size=500),

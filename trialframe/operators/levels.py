@@ -3,6 +3,11 @@
 The indicator matrix is never formed: a row is its z-scores and one level number per categorical
 variable.  A pass over the packed rows multiplies the covariance by a block of vectors, and a
 block Krylov iteration with restarts finds the leading components from such products.
+
+Where only one variable has many levels, its own block of the covariance is the identity less a
+projection that no other block sees.  The components then lie in the space of the other features
+and of their means by level: a matrix of twice as many rows as there are other features, however
+many levels there are.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialframe.columns import col
-from trialframe.plans.arrays import to_matrix
+from trialframe.plans.arrays import array_sum, to_lists, to_matrix
 from trialframe.plans.blocks import pack
 from trialframe.plans.lineage import written
 
@@ -140,3 +145,63 @@ def fit_levels(
     scores = coded.mapInArrow(score, T.StructType([*kept, *[T.StructField(c, T.DoubleType()) for c in names]]))
     # A z-score has variance 1, the indicators of a variable have that of their number less one.
     return scores, np.maximum(values, 0.0) / (wide + len(levels) - len(cats))
+
+
+def _gram(frame: DataFrame, p: int) -> np.ndarray:
+    """Sum of w x xᵀ over a frame of (w double, x array<double>): a task sends p × p numbers."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p, p))
+        for batch in batches:
+            x = to_matrix(batch.column(1), p)
+            total += x.T @ (x * batch.column(0).to_numpy(zero_copy_only=False)[:, None])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(p), pa.int32()), to_lists(total, pa.float64())], names=["i", "s"])
+
+    rows = frame.mapInArrow(work, "i int, s array<double>").groupBy("i").agg(
+        array_sum("s", p).alias("s")).orderBy("i").collect()
+    return np.array([r["s"] for r in rows]).reshape(p, p)
+
+
+def _dot(x: Column, weights: np.ndarray) -> Column:
+    terms = F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b)
+    return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+
+
+def fit_one_large(
+    whole: DataFrame, keep: Sequence[str], z: Sequence[Column], cats: Sequence[str], large: str,
+    levels: Sequence[tuple[str, str, int]], total: int, k: int, n: int, prefix: str,
+) -> tuple[DataFrame, np.ndarray] | None:
+    """As ``fit_levels`` where only ``large`` has many levels; ``levels`` are those of the others.
+
+    ``total`` counts all levels.  The means by level stay a table.  Null when fewer than ``k``
+    components are told apart by the other features.
+    """
+    marks = [((col(v).cast("string") == F.lit(text)).cast("double") - m / n) / (m / n) ** 0.5
+             for v, text, m in levels]
+    p = len(z) + len(marks)
+    if not p:
+        return None
+    coded = whole.select(*[col(c) for c in keep], F.array(*z, *marks).alias("__f"),
+                         col(large).cast("string").alias("__t"))
+    means = written(coded.groupBy("__t").agg(
+        (F.count("*") / n).alias("share"), F.array(*[F.avg(F.col("__f")[i]) for i in range(p)]).alias("__m")))
+    own = _gram(coded.select(F.lit(1.0 / n).alias("w"), "__f"), p)
+    strength, axes = np.linalg.eigh(_gram(means.select("share", "__m"), p))
+    there = strength > 1e-13 * max(1.0, float(strength.max()))
+    root, axes = np.sqrt(strength[there]), axes[:, there]
+    tie = axes * root
+    values, vectors = np.linalg.eigh(np.block([[own, tie], [tie.T, np.eye(len(root))]]))
+    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+    if len(values) < k or values[-1] < 1 - 1e-9:
+        return None
+    direct, by_level = vectors[:p], (axes / root) @ vectors[p:]
+    # The sign makes the largest entry positive, among the levels' too.
+    entry = [F.sqrt("share") * _dot(F.col("__m"), by_level[:, i]) for i in range(k)]
+    far = means.agg(*[F.max_by(e, F.abs(e)).alias(f"e{i}") for i, e in enumerate(entry)]).first()
+    first = direct[np.abs(direct).argmax(axis=0), range(k)]
+    signs = np.sign([far[i] if abs(far[i]) > abs(first[i]) else first[i] for i in range(k)])
+    signs[signs == 0] = 1.0
+    scores = coded.join(means.select("__t", "__m"), "__t").select(*[col(c) for c in keep], *[
+        (_dot(F.col("__f"), direct[:, i] * signs[i]) + _dot(F.col("__m"), by_level[:, i] * signs[i]))
+        .alias(f"{prefix}{i + 1}") for i in range(k)])
+    return scores, np.maximum(values, 0.0) / (len(z) + total - len(cats))

@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 
 from trialframe.columns import col, complete_cases, num, resolve_columns, split_columns
 from trialframe.functions.shape import correlation_of, ratio
-from trialframe.operators.levels import fit_levels
+from trialframe.operators.levels import fit_levels, fit_one_large
+from trialframe.plans.lineage import written
 from trialframe.plans.onepass import fitted, long_strings, per_variable
 from trialframe.sources.dictionary import describe_variables
 
 #: More levels than this in total are analysed without their covariance; results are equal.
 COVARIANCE_LEVELS = 1_000
+#: Features beside one variable of many levels whose means by level are taken in a table.
+OTHER_FEATURES = 128
+#: Levels of several variables of many levels, which the driver holds.
+DRIVER_LEVELS = 200_000
 
 
 @dataclass
@@ -117,14 +122,16 @@ def famd(
     k: int = 10,
     id_col: str | None = None,
     covariance_levels: int = COVARIANCE_LEVELS,
-    max_levels: int = 200_000,
+    max_levels: int | None = None,
 ) -> Reduction:
     """FAMD (Pagès 2004) on complete cases: PCA of z-scored numeric columns together with
     indicators (1[x = level] − p) / √p.
 
     Up to ``covariance_levels`` levels in total the components come from the covariance, beyond it
-    from products with it, to a residual of 1e-9.  More than ``max_levels`` are an error: such
-    a column identifies rows, and the driver holds about 15 (k + 8) numbers a level.
+    without it.  One variable may have any number of levels, which stay in a table; where several
+    have many, or ``k`` asks for more than the other features tell apart, the components come from
+    products with the covariance, to a residual of 1e-9, the driver holds about 15 (k + 8) numbers a
+    level, and more than ``DRIVER_LEVELS`` are an error, as are more than ``max_levels`` in any case.
 
     The loadings are the variable coordinates: the correlation with each dimension for a
     numeric variable, the correlation ratio η² for a categorical one.
@@ -144,20 +151,41 @@ def famd(
             if fit[c]["s"]:
                 features.append((c, (num(c) - fit[c]["m"]) / fit[c]["s"]))
     levels: list[tuple[str, str, int]] = []
+    sizes: dict[str, int] = {}
     if cats:
-        counted = long_strings(whole, cats).groupBy("variable", "value").agg(
-            F.count("*").alias("m")
+        counted = written(long_strings(whole, cats).groupBy("variable", "value").agg(
+            F.count("*").alias("m")))
+        sizes = {r["variable"]: r["l"] for r in counted.groupBy("variable").agg(
+            F.count("*").alias("l")).collect()}
+    total = sum(sizes.values())
+    if max_levels is not None and total > max_levels:
+        raise ValueError(
+            f"more than {max_levels} levels: an id-like column does not belong in FAMD"
         )
-        levels = sorted(tuple(r) for r in counted.limit(max_levels + 1).collect())
-        if len(levels) > max_levels:
-            raise ValueError(
-                f"more than {max_levels} levels: an id-like column does not belong in FAMD"
-            )
+    carried = [*keep, *[c for c in (*nums, *cats)]]
+    if total > covariance_levels:
+        large = max(sorted(sizes), key=sizes.get)
+        others = len(features) + total - sizes[large]
+        found = None
+        if others <= OTHER_FEATURES:
+            rest = counted.where(F.col("variable") != large).collect()
+            found = fit_one_large(
+                whole, carried, [e for _, e in features], cats, large, sorted(tuple(r) for r in rest), total,
+                max(1, min(k, others + sizes[large] - len(cats), n - 1)), n, "Dim")
+        if found is not None:
+            scores, ratios = found
+            k = len(ratios)
+            return Reduction(
+                scores.select(*[col(c) for c in keep], *[f"Dim{i + 1}" for i in range(k)]),
+                _coordinates(scores, nums, cats, k), _variance_table(df, ratios), "Dim", k, n)
+        if total > DRIVER_LEVELS:
+            raise ValueError(f"more than {DRIVER_LEVELS} levels in several variables or for {k} components")
+    if cats:
+        levels = sorted(tuple(r) for r in counted.collect())
     if not features and not levels:
         raise ValueError("no variable with spread for FAMD")
     rank = len(features) + len(levels) - len(cats)
     k = max(1, min(k, rank, n - 1))
-    carried = [*keep, *[c for c in (*nums, *cats)]]
     if len(levels) > covariance_levels:
         scores, ratios = fit_levels(
             whole, carried, [e for _, e in features], cats, levels, k, n, "Dim")
