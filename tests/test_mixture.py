@@ -140,6 +140,19 @@ def test_sums_by_levels(spark, monkeypatch, driver_bytes, cell):
     b.release()
 
 
+def test_one_vector_reaches_the_driver_however_many_tasks(spark, monkeypatch):
+    df = spark.range(400).repartition(40).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    monkeypatch.setattr(blocks, "TASK_BYTES", 8)
+    b = blocks.pack(df.select(F.col("id").alias("h"), "x"), 400, 1)
+    seen, size = [], 1 << 15  # 256 kB a task
+    plain = type(b.frame).collect
+    monkeypatch.setattr(type(b.frame), "collect", lambda t: seen.append(plain(t)) or seen[-1])
+    found = b.reduce(lambda data: np.full(size, sum(x.sum() for _, x in data)), size=size)
+    assert b.tasks == 40 and found.tolist() == [400 * 399 / 2] * size
+    assert [len(rows) for rows in seen] == [1]
+    b.release()
+
+
 def test_no_rows(spark):
     b = blocks.pack(spark.createDataFrame([], "h long, x array<double>"), 0, 2)
     assert b.reduce(lambda data: np.array([float(sum(len(x) for _, x in data))])).tolist() in ([0.0], [])

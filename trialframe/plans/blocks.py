@@ -2,8 +2,8 @@
 
 Iterative fits read the same rows many times.  They are packed once: a row of the packed table is
 a block of up to ``BLOCK_ROWS`` feature rows as the bytes of a matrix, which a task maps without
-decoding a list.  A pass sends one short vector per task; where these are too many bytes for
-the driver, they are added up level by level in Spark first, in tasks of about the square root.
+decoding a list.  A pass sends one short vector per task; where these are over a few bytes for
+the driver, which gets them in every pass, they are added up in Spark first, ``FAN`` to a task.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from trialframe.plans.arrays import to_matrix
 BLOCK_ROWS = 1 << 13
 #: Smaller tasks than this are put together: a pass over them costs more than their work.
 TASK_BYTES = 1 << 22
-#: Bytes of task results that may come to the driver in one pass, and in one cell.
-DRIVER_BYTES = 1 << 26
+#: Bytes of task results that may come to the driver in one pass (one vector may be longer), and in
+#: one cell: hundreds of passes follow each other, so what reaches the driver must not grow by tasks.
+DRIVER_BYTES = 1 << 20
 CELL_BYTES = 1 << 24
+#: Vectors that one task adds up.
+FAN = 64
 
 #: What a task does: blocks of (hashes, rows) in, a vector out.
 Work = Callable[[Iterator[tuple[np.ndarray, np.ndarray]]], np.ndarray]
@@ -84,8 +87,8 @@ class Blocks:
         ddl = "task long, cell long, s binary"
         found, many = self.frame.mapInArrow(first, ddl), self.tasks
         while many > 1 and many * size * 8 > DRIVER_BYTES:
-            many = min(math.isqrt(many - 1) + 1, many // 2)
-            found = (found.repartition(many, "task").mapInArrow(again, ddl)
+            many = 1 if many <= FAN else max(math.isqrt(many - 1) + 1, many // FAN)
+            found = (found.repartition(many, "task").sortWithinPartitions("task", "cell").mapInArrow(again, ddl)
                      .withColumn("task", F.spark_partition_id().cast("long")))
         parts: dict[int, list[np.ndarray]] = {}
         for r in sorted(found.collect(), key=lambda r: (r["task"], r["cell"])):
