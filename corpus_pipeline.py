@@ -48,8 +48,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def temperature_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The evenest mix in which no source is passed more than 1.25 times; none is cut."""
-    return mixing.mix_sources(docs.select(COLUMNS), max_repeat=1.25, keep_all=True).select(COLUMNS)
+    """The evenest mix in which no source is passed more than 4 times; none is cut.
+
+    Up to about four passes, repeated text is worth nearly as much as new text (Muennighoff et
+    al. 2023); sources that differ by less than that are mixed in equal parts.
+    """
+    return mixing.mix_sources(docs.select(COLUMNS), max_repeat=4.0, keep_all=True).select(COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
