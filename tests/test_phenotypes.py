@@ -156,6 +156,34 @@ def test_ward_cells_give_the_same_tree(spark, p, cells):
         assert {frozenset(np.flatnonzero(labels == c)) for c in set(labels)} == ward_by_hand(x, k), k
 
 
+@pytest.mark.parametrize("p,leaf", [(2, 9), (4, 6), (20, 8)])
+def test_ward_leaves_find_the_nearest_of_all(spark, p, leaf):
+    """Searches in the own leaf and in those that may hold a cheaper one; with many dimensions all pairs."""
+    pdf, _ = blobs(90, p, 5, seed=p, spread=1.2)
+    f = prepare_features(spark.createDataFrame(pdf).repartition(3), "id")
+    clusters = f.frame.select(F.col("id").cast("long").alias("cid"), (F.col("id") % 4 + 1).cast("double").alias("n"),
+                              "x", (F.col("id") % 3 > 0).alias("fresh")).cache()
+    want = {tuple(r) for r in ward._nearest(clusters, 90, p, 30).select("cid", "lo", "hi").collect()}
+    found = ward._nearest_by_leaf(clusters, 90, p, leaf, 0)
+    assert found is not None or p == 20
+    if found is not None:
+        assert {tuple(r) for r in found.select("cid", "lo", "hi").collect()} == want and len(want) == 60
+    out = ward.ward(f, [2, 5, 15], driver_clusters=2, block_rows=30, cell_clusters=5, leaf_clusters=leaf)
+    got = out.toPandas().sort_values("id")
+    x = np.array(got["x"].tolist())
+    for k in (2, 5, 15):
+        labels = got[f"agglomerative_{k}"].to_numpy()
+        assert {frozenset(np.flatnonzero(labels == c)) for c in set(labels)} == ward_by_hand(x, k), k
+
+
+def test_blocks_of_a_larger_table_stay_few():
+    from trialframe.plans.blockpairs import BLOCKS, count_blocks
+
+    assert [count_blocks(n, 2_048, 800) for n in (1, 2_048, 5_000)] == [1, 1, 3]
+    assert count_blocks(100_000, 2_048, 800) == count_blocks(1_000_000, 2_048, 800) == BLOCKS
+    assert count_blocks(10_000_000, 2_048, 800) == 120  # no more than 64 MB of rows
+
+
 def test_ward_cell_leaves_what_walls_may_hide():
     """Merges of a cell are merges of the whole, and a wall right beside a point blocks it."""
     rng = np.random.default_rng(8)
