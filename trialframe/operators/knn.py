@@ -7,8 +7,10 @@ none, the column mean.  Ties go to the smaller id.
 
 How the work is kept small and spread out:
 
-* Only rows with a gap ("receivers") search.  A bounded sample of rows gives every receiver
-  a radius within which its k neighbours surely lie.
+* Only rows with a gap ("receivers") search.  A sample of rows gives every receiver a radius
+  within which its k neighbours surely lie: from a few rows first, then from those rows of a sample
+  in proportion to the table that lie within it.  So a radius holds about as many rows, and a cell as
+  many donors, in a large table as in a small one.
 * The rows that give values ("donors") are put in cells that a few threshold splits of the
   sample define.  A receiver is sent only to cells that its radius reaches, found with a
   lower bound of the distance to the cell.  Rows lacking the split column have a branch of
@@ -35,6 +37,9 @@ from trialframe.columns import col, num
 from trialframe.plans.onepass import fitted, per_variable
 
 SAMPLE_ROWS = 4_000
+#: Of a larger table one row in so many is in the sample, up to a number that every task can hold.
+SAMPLE_SHARE = 16
+MOST_SAMPLE_ROWS = 65_536
 CELL_SAMPLE_ROWS = 60
 DONOR_BLOCK = 20_000
 RECEIVER_BLOCK = 10_000
@@ -146,6 +151,28 @@ def _radius2(x: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _closer2(x: np.ndarray, radius: np.ndarray, sample: np.ndarray,
+             members: Sequence[np.ndarray], reached: np.ndarray, k: int) -> np.ndarray:
+    """The radius again, from all sample rows of the cells that the first one reaches."""
+    rows, p = x.shape
+    best = np.full((rows, p, k), np.inf)
+    gaps = np.isnan(x)
+    for c in np.flatnonzero(reached.any(axis=0)):
+        if not len(members[c]):
+            continue
+        who = np.flatnonzero(reached[:, c])
+        y = sample[members[c]]
+        d, have = distances2(x[who], y), ~np.isnan(y)
+        for j in range(p):
+            some = np.flatnonzero(gaps[who, j])
+            if not len(some) or not have[:, j].any():
+                continue
+            near = np.concatenate([best[who[some], j], d[np.ix_(some, have[:, j])]], axis=1)
+            best[who[some], j] = np.partition(near, k - 1, axis=1)[:, :k]
+    worst = np.where(gaps, best.max(axis=2), 0.0).max(axis=1)
+    return np.minimum(radius, worst)
+
+
 def _matrix(series: pd.Series, p: int) -> np.ndarray:
     return np.array(series.tolist(), dtype="float64").reshape(len(series), p)
 
@@ -158,10 +185,11 @@ def neighbours(
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(col(id_col).alias("id"), x.alias("x"))
-    sample_rows = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("x").collect()
+    many = min(MOST_SAMPLE_ROWS, max(SAMPLE_ROWS, rows.count() // SAMPLE_SHARE))
+    sample_rows = rows.orderBy(F.xxhash64("id"), "id").limit(many).select("x").collect()
     sample = np.array([r["x"] for r in sample_rows], dtype="float64").reshape(-1, p)
     cells = Cells(sample)
-    shared = spark.sparkContext.broadcast((cells, sample))  # at most SAMPLE_ROWS rows
+    shared = spark.sparkContext.broadcast((cells, sample))  # at most MOST_SAMPLE_ROWS rows
     n_cells = len(cells.low)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,11 +199,20 @@ def neighbours(
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splits, known = shared.value
+        at = splits.locate(known)
+        order = np.argsort(at, kind="stable")
+        members = np.split(order, np.searchsorted(at[order], np.arange(1, n_cells)))
         for batch in batches:
-            x = _matrix(batch["x"], p)
-            radius = _radius2(x, known, k)
-            ok = splits.bounds2(x) <= (radius * (1 + 1e-9))[:, None]
-            yield batch.assign(cells=[np.flatnonzero(row).astype("int32") for row in ok])
+            x_all, found = _matrix(batch["x"], p), []
+            for start in range(0, len(x_all), 1_000):
+                x = x_all[start : start + 1_000]
+                radius, bounds = _radius2(x, known[:SAMPLE_ROWS], k), splits.bounds2(x)
+                ok = bounds <= (radius * (1 + 1e-9))[:, None]
+                if len(known) > SAMPLE_ROWS:
+                    radius = _closer2(x, radius, known, members, ok, k)
+                    ok = bounds <= (radius * (1 + 1e-9))[:, None]
+                found += [np.flatnonzero(row).astype("int32") for row in ok]
+            yield batch.assign(cells=found)
 
     copies = Window.partitionBy("x").orderBy("id")
     donors = (
