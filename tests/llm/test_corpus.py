@@ -225,6 +225,20 @@ def test_mixing_limits_repetition_and_keeps_all(spark):
     assert limited <= 2
 
 
+def test_pipeline_mixes_uneven_sources(spark):
+    """The smallest source is passed four times, the largest once; none is cut."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as c
+
+    docs = mixed(spark, {"a": 3000, "b": 1000, "c": 100}).withColumn("lang", F.lit("en")).withColumn("n_chars", F.lit(1))
+    out = c.temperature_mixing(spark, docs, "").groupBy("source").agg(
+        F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).collect()
+    got = {r["source"]: (r["n"], r["d"]) for r in out}
+    assert {k: d for k, (_, d) in got.items()} == {"a": 3000, "b": 1000, "c": 100}
+    assert got["a"][0] == 3000 and 3.5 < got["c"][0] / 100 <= 4
+
+
 def test_mixing_edges(spark, docs_of):
     assert mixing.mix_sources(docs_of([]), target_entropy=0.5).count() == 0
     odd = docs_of([(None, None, None, None), (1, "", None, None), (2, "a b", None, "x")])
@@ -336,4 +350,4 @@ def test_all_queries_are_registered(spark):
 
     names = set(e.queries())
     assert {"pipeline"} | {n for n in names if n.startswith("op")} >= {"pipeline"}
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
