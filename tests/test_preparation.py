@@ -633,3 +633,19 @@ def test_famd_inertia_and_coordinates(spark):
         mine = coords[coords["component"] == k]
         total = sum(v**2 if n in "ab" else v for n, v in zip(mine["variable"], mine["loading"]))
         assert total == pytest.approx(shares[k - 1] * 5, abs=1e-8)
+
+
+def test_closer_radius_still_holds_the_nearest():
+    from trialframe.operators import knn
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 4))
+    x[rng.random(x.shape) < 0.15] = np.nan
+    k, cells = 5, knn.Cells(x)
+    ask = x[np.isnan(x).any(axis=1) & ~np.isnan(x).all(axis=1)][:400]
+    first = knn._radius2(ask, x[:200], k)
+    at = cells.locate(x)
+    members = [np.flatnonzero(at == c) for c in range(len(cells.low))]
+    reached = cells.bounds2(ask) <= (first * (1 + 1e-9))[:, None]
+    closer = knn._closer2(ask, first, x, members, reached, k)
+    assert np.allclose(closer, knn._radius2(ask, x, k)) and closer.sum() < first.sum() / 2
