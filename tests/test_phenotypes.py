@@ -555,3 +555,29 @@ def test_entry_and_registry(spark):
     assert contract.entry(spark).count() == 4
     queries, sql = contract.queries(), contract.oracle_sql()
     assert set(sql) <= set(queries)
+
+
+# ------------------------------------------------------------ work in tiles and tasks
+
+
+@pytest.mark.parametrize("tile", [(3, 5), (64, 16), (256, 512)])
+def test_silhouette_by_tiles(spark, monkeypatch, tile):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3))
+    x[80:] = x[:10]
+    label = rng.integers(0, 4, 90)
+    other = [None if i % 7 == 0 else int(i % 3) for i in range(90)]
+    df = spark.createDataFrame(
+        [(i, x[i].tolist(), int(label[i]), other[i]) for i in range(90)],
+        "id long, x array<double>, a int, b int")
+    monkeypatch.setattr(validate, "TILE", tile)
+    found = {r["labeling"]: r["silhouette"]
+             for r in validate.silhouette(df, ["a", "b"], "id", 3, block_rows=40).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for name, l in (("a", label), ("b", np.array([-1 if v is None else v for v in other]))):
+        scores = []
+        for i in np.flatnonzero(l >= 0):
+            mean = {c: d[i, (l == c)].sum() / ((l == c).sum() - (c == l[i])) for c in set(l) - {-1}}
+            near = min(v for c, v in mean.items() if c != l[i])
+            scores.append((near - mean[l[i]]) / max(near, mean[l[i]]))
+        assert math.isclose(found[name], sum(scores) / 90, abs_tol=1e-7)  # rows without a label count as 0
