@@ -581,3 +581,34 @@ def test_silhouette_by_tiles(spark, monkeypatch, tile):
             near = min(v for c, v in mean.items() if c != l[i])
             scores.append((near - mean[l[i]]) / max(near, mean[l[i]]))
         assert math.isclose(found[name], sum(scores) / 90, abs_tol=1e-7)  # rows without a label count as 0
+
+
+def test_kmeans_rows_are_dealt_out_by_work(spark, monkeypatch):
+    """One partition of few bytes but many distances is worked by several tasks, every row once."""
+    from trialframe.plans import blocks
+
+    pdf, _ = blobs(600, 2, 4, seed=3)
+    feats = prepare_features(spark.createDataFrame(pdf).coalesce(1), "id")
+    monkeypatch.setattr(blocks, "TASK_CELLS", 500)
+    packed = kmeans.packed(feats, 1, centers=10)
+    assert packed.tasks == min(12, spark.sparkContext.defaultParallelism) > 1
+    found = packed.reduce(lambda data: np.sum([[len(h), *x.sum(axis=0)] for h, x in data] or [[0, 0, 0]], axis=0), size=3)
+    packed.release()
+    assert np.allclose(found, [600, 0, 0], atol=1e-8)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_kmeans_step(weighted):
+    rng = np.random.default_rng(4)
+    x, centers = rng.normal(size=(50, 3)), rng.normal(size=(2, 4, 3))
+    centers[1, 2] = centers[1, 0]  # of equal centers the first one counts
+    w = rng.integers(0, 3, 50).astype(float) if weighted else np.ones(50)
+    weight, cost, total = kmeans._step(x, w if weighted else None, centers)
+    for m in range(2):
+        d = ((x[:, None] - centers[m][None]) ** 2).sum(axis=2)
+        near = d.argmin(axis=1)
+        for c in range(4):
+            own = near == c
+            assert math.isclose(weight[4 * m + c], w[own].sum())
+            assert math.isclose(cost[4 * m + c], (w * d.min(axis=1))[own].sum(), abs_tol=1e-9)
+            assert np.allclose(total[4 * m + c], (w[:, None] * x)[own].sum(axis=0))
