@@ -86,6 +86,24 @@ def test_every_gram_has_its_own_key(spark):
 
 # quality ----------------------------------------------------------------------
 
+def test_quality_features_come_in_small_batches():
+    """A large Arrow batch is worked and sent on in parts, with the features of every row."""
+    import pyarrow as pa
+
+    n = 2 * quality.ROWS + 5
+    texts = [None if i % 50 == 0 else f"text {i} of many " * (i % 9) for i in range(n)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n), pa.int64()), pa.array([i % 2 for i in range(n)], pa.int32()), pa.array(range(n), pa.int64()),
+         pa.array(texts), pa.array(["s"] * n), pa.array([None] * n, pa.string()), pa.array(range(n), pa.int64())],
+        names=["doc_id", "quality", "key", "text", "source", "lang", "n_chars"])
+    out = list(quality._features(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in out] == [quality.ROWS, quality.ROWS, 5]
+    rows = pa.Table.from_batches(out)
+    assert rows.column("doc_id").to_pylist() == list(range(n))
+    got = np.frombuffer(b"".join(rows.column("xt").to_pylist()), np.float32).reshape(n, -1)
+    assert (got == quality.text_features(texts)).all()
+
+
 def test_quality_on_documents_kept_aside(spark, sf, documents):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.train(documents, labels.where("doc_id % 5 <> 0"))

@@ -190,6 +190,16 @@ def _given(x: tuple[np.ndarray, np.ndarray], key: np.ndarray, history: list, con
     return out
 
 
+ROWS = 1024  # of which a worker holds features and their products at once
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``ROWS``, so that matrices do not grow with Arrow's batches."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def _matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(-1, n)
                  .astype(np.float64) for c, n in (("xt", TEXT_WIDTH), ("xm", META_WIDTH)))
@@ -210,7 +220,7 @@ def _refit(given: list[DataFrame], view: list, w: list[np.ndarray], steps: int =
 
     def sums(batches: Iterator[pa.RecordBatch], at: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((len(v), len(v) + 1)) for v in at]
-        for batch in batches:
+        for batch in _parts(batches):
             x, y = _matrices(batch), batch.column("label").to_numpy().astype(float)
             to = 1 - batch.column("by").to_numpy()
             for k in (0, 1):
@@ -272,7 +282,7 @@ def co_train(
 
     def count(batches: Iterator[pa.RecordBatch], past: list, now: list) -> Iterator[pa.RecordBatch]:
         out = np.zeros((2, 2, CELLS), np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             x = _matrices(batch)
             free = _given(x, batch.column("key").to_numpy(), past, confidence)[:, 0] < 0
             for k in (0, 1):
@@ -284,7 +294,7 @@ def co_train(
              pa.array(out[k, label, cell])], names=["view", "label", "cell", "n"])
 
     def take(batches: Iterator[pa.RecordBatch], past: list) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             g = _given(_matrices(batch), batch.column("key").to_numpy(), past, confidence)
             new = pa.array(g[:, 0] == len(past) - 1)
             yield pa.RecordBatch.from_arrays(
@@ -320,7 +330,7 @@ def co_train(
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         xt = text_features(batch.column("text").to_pylist())
         xm = meta_features(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
         yield pa.RecordBatch.from_arrays(
@@ -378,7 +388,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             xt = text_features(batch.column("text").to_pylist())
             xm = meta_features(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
             t, m, s = shared.value.scores(xt, xm)
