@@ -97,14 +97,13 @@ def row_hash(id_col: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), col(id_col))
 
 
-#: Distances that a task holds at once, and those of them that a core's cache is to hold.
+#: Distances that a task holds at once.
 CELLS = 1 << 22
-STEP_CELLS = 1 << 17
 
 
-def _pieces(blocks: Iterator[tuple[np.ndarray, np.ndarray]], width: int, cells: int = CELLS):
-    """Blocks cut so that ``width`` numbers per row fit ``cells``."""
-    step = max(64, cells // max(width, 1))
+def _pieces(blocks: Iterator[tuple[np.ndarray, np.ndarray]], width: int):
+    """Blocks cut so that ``width`` numbers per row fit ``CELLS``."""
+    step = max(64, CELLS // max(width, 1))
     for h, x in blocks:
         for i in range(0, len(x), step):
             yield h[i:i + step], x[i:i + step]
@@ -131,8 +130,10 @@ def _step(x: np.ndarray, w: np.ndarray | None, centers: np.ndarray):
     if w is not None:
         d *= w
     weight, total = d.sum(axis=2), (d.reshape(k * m, len(x)) @ x).reshape(k, m, p)
-    cost = np.matmul(d.transpose(1, 0, 2), best[:, :, None])[:, :, 0]
-    return weight.T.ravel(), cost.ravel(), total.transpose(1, 0, 2).reshape(m * k, p)
+    best = best if w is None else best * w
+    place = near + k * np.arange(m)[:, None]  # costs are added row by row: equal fits tie as they are
+    cost = np.bincount(place.ravel(), weights=best.ravel(), minlength=m * k)
+    return weight.T.ravel(), cost, total.transpose(1, 0, 2).reshape(m * k, p)
 
 
 def _moved(centers: np.ndarray, weight: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -159,7 +160,7 @@ def _statistics(blocks: Blocks, models: Sequence[Model], which: Sequence[int]):
 
     def work(data: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         total = np.zeros((rows, p + 2))
-        for h, raw in _pieces(data, widest, STEP_CELLS):
+        for h, raw in _pieces(data, widest):
             at = 0
             for world, groups in stacked.items():
                 x, w = _view(world, raw, h)
