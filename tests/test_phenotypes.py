@@ -176,6 +176,26 @@ def test_ward_leaves_find_the_nearest_of_all(spark, p, leaf):
         assert {frozenset(np.flatnonzero(labels == c)) for c in set(labels)} == ward_by_hand(x, k), k
 
 
+def test_ward_cuts_between_far_groups(spark, monkeypatch):
+    """No cell or leaf holds rows of two far groups, and cells that lie apart give the same tree."""
+    rng = np.random.default_rng(6)
+    group = np.repeat(np.arange(10), 12)
+    x = np.eye(10)[group] * 5 + rng.normal(0, 0.05, (120, 10))
+    one, wide = ward._gap(rng.random((300, 3))), ward._gap(x)
+    assert one is None and abs(wide[1] - 2.5) < 0.5
+    monkeypatch.setattr(ward, "GAP_CLUSTERS", 8)
+    leaf = ward._split(x, 120, 40, 0.5).of(x)
+    assert all(len(set(group[leaf == c])) == 1 for c in set(leaf)) and len(set(leaf)) >= 10
+    pdf = pd.DataFrame({"id": range(120)} | {f"v{i}": x[:, i] for i in range(10)})
+    f = prepare_features(spark.createDataFrame(pdf).repartition(3), "id")
+    out = ward.ward(f, [2, 10, 13], driver_clusters=8, block_rows=50, cell_clusters=40, leaf_clusters=20)
+    got = out.toPandas().sort_values("id")
+    z = np.array(got["x"].tolist())
+    for k in (2, 10, 13):
+        labels = got[f"agglomerative_{k}"].to_numpy()
+        assert {frozenset(np.flatnonzero(labels == c)) for c in set(labels)} == ward_by_hand(z, k), k
+
+
 def test_blocks_of_a_larger_table_stay_few():
     from trialframe.plans.blockpairs import BLOCKS, count_blocks
 
