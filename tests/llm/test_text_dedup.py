@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trialframe.llm import jaccard, substring
+from trialframe.llm.common import store
 from trialframe.llm.fmindex import FMIndex
 from trialframe.llm.graph import components
 
@@ -71,6 +74,37 @@ def test_jaccard_edges(spark, docs_of):
     assert [r.component_id for r in alone] == [None, None]
 
 
+def test_jaccard_counts_overlaps_in_bounded_memory():
+    """A block of near copies has millions of matches; they are counted some at a time."""
+    rng = np.random.default_rng(0)
+    common = rng.integers(0, 1 << 60, 60)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 60, 20)])) for _ in range(768)]
+    t = pa.table({"bin": [0] * 768, "block": [0] * 768, "fragment": [0] * 768, "cid": range(768),
+                  "size": [len(s) for s in sets], "grams": jaccard._long_lists(sets),
+                  "pivot": [i >= 256 for i in range(768)]})
+    tracemalloc.start()
+    out = jaccard._overlaps(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(np.frombuffer(out.column("counts")[0].as_py(), np.uint32)) == {60}
+    assert peak < 32e6, peak
+
+
+def test_jaccard_workers_get_few_texts_at_a_time(spark):
+    """Both steps that read texts get and send on parts; the session's setting stays as it was."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(b)]})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = store(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), "sizes", jaccard.ROWS).collect()
+    assert sum(r.n for r in got) == 5000 and max(r.n for r in got) <= jaccard.ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    parts = list(jaccard._parts(iter([pa.RecordBatch.from_pydict({"a": list(range(2500))})])))
+    assert [v for p in parts for v in p.column("a").to_pylist()] == list(range(2500))
+    assert max(map(len, parts)) == jaccard.ROWS
+
+
 def test_jaccard_ignores_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e", 5, "x"), (2, "a b c d e", 6, "y")],
                                "doc_id long, text string, component_id long, size string")

@@ -30,6 +30,9 @@ from trialframe.llm.hnsw import _forest
 
 #: Prefixes are longer than the theorem's shortest by one gram in so many, and as many must match.
 EXTRA = 25
+#: Texts that a worker holds at a time, grams of the whole sets it sends on at a time, and matches of
+#: grams that it counts at a time: its memory follows these, not the rows of a task.
+ROWS, SENT_GRAMS, MATCHES = 1_024, 1 << 18, 1 << 18
 
 
 def gram_sets(texts: list[str | None], n: int, fold: bool) -> Iterator[np.ndarray]:
@@ -55,10 +58,23 @@ def least_overlap(n: Column | int, percent: int):
     return -(-percent * n // 100)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, len(batch), ROWS):
+            yield batch.slice(i, ROWS)
+
+
+def _long_lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrays of 64 bits as a list<long> column, without Python numbers."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(ends, pa.array(flat))
+
+
 def fingerprints(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame:
     """doc_id, size, k1, k2 and the first grams by hash, long enough for the first filter."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sizes, k1, k2, prefixes = [], [], [], []
             for s in gram_sets(batch.column("text").to_pylist(), n, fold):
                 a, b = set_keys(s)
@@ -66,12 +82,10 @@ def fingerprints(docs: DataFrame, n: int, percent: int, fold: bool) -> DataFrame
                 sizes.append(m)
                 k1.append(a)
                 k2.append(b)
-                prefixes.append(s[:m - least_overlap(m, percent) + max(1, m // EXTRA)].view(np.int64))
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                prefixes.append(s[:m - least_overlap(m, percent) + max(1, m // EXTRA)].copy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()),
-                 pa.array(k2, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))],
+                 pa.array(k2, pa.int64()), _long_lists(prefixes)],
                 names=["doc_id", "size", "k1", "k2", "prefix"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -91,16 +105,24 @@ def _eligible(classes: DataFrame, percent: int) -> DataFrame:
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int, fold: bool) -> DataFrame:
     """(cid, size, grams) of the wanted classes, from the text of one document of each."""
+    def sent(cids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cids, pa.int64()), pa.array([len(g) for g in sets], pa.int64()), _long_lists(sets)],
+            names=["cid", "size", "grams"])
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()))
-            cids, out = batch.column("cid").to_pylist(), []
+            cids, found, sets, held = batch.column("cid").to_pylist(), [], [], 0
             for i, s in enumerate(gram_sets(batch.column("text").to_pylist(), n, fold)):
                 if set_keys(s) == keys[i]:
-                    out.append((cids[i], s.view(np.int64).tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in out], pa.int64()), pa.array([len(g) for _, g in out], pa.int64()),
-                 pa.array([g for _, g in out], pa.list_(pa.int64()))], names=["cid", "size", "grams"])
+                    found.append(cids[i])
+                    sets.append(s)
+                    held += len(s)
+                if held > SENT_GRAMS:
+                    yield sent(found, sets)
+                    found, sets, held = [], [], 0
+            yield sent(found, sets)
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = d.join(wanted.select("cid", "k1", "k2", "first"), d["doc_id"].eqNullSafe(F.col("first")))
@@ -144,7 +166,7 @@ def _overlaps(t: pa.Table) -> pa.Table:
         at = 0
         while at < len(ga):  # so many matches at a time that memory stays bounded
             base = ends[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, base + (1 << 21))))
+            upto = max(at + 1, int(np.searchsorted(ends, base + MATCHES)))
             k = many[at:upto]
             where = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[at:upto], k)
             counts += np.bincount(np.repeat(ia[at:upto], k) * m + ib[where], minlength=p * m)
@@ -258,7 +280,7 @@ def near_duplicates(
     Everything is summed before it is shuffled, groups hold one set or one block, and rows of one
     hot set or gram meet in joins that Spark splits.
     """
-    prints = store(fingerprints(docs, n, percent, fold), "fingerprints")
+    prints = store(fingerprints(docs, n, percent, fold), "fingerprints", ROWS)
     classes = store(
         prints.where("size > 0").groupBy("k1", "k2", "size").agg(
             F.min("doc_id").alias("first"), F.first("prefix").alias("prefix"))
@@ -268,7 +290,7 @@ def near_duplicates(
     wanted = store(_eligible(classes, percent), "eligible")
     named = store(classes.drop("prefix"), "classes")
     release(classes)
-    linked = _link(store(_whole_sets(docs, wanted, n, fold), "sets"), percent, fragments,
+    linked = _link(store(_whole_sets(docs, wanted, n, fold), "sets", ROWS), percent, fragments,
                    round_pivots, block_rows)
     placed = named.join(linked, "cid", "left").select(
         "k1", "k2", "size", "first", F.coalesce("root", "cid").alias("root"))
