@@ -64,6 +64,59 @@ def test_jaccard_is_brute_force(spark, docs_of, pivots, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_jaccard(rows, 4, 85)
 
 
+@pytest.mark.parametrize("paired,percent", [(1, 85), (3, 70), (16, 60)])
+def test_jaccard_candidates_are_brute_force(spark, docs_of, monkeypatch, paired, percent):
+    """Links are found whether their grams are rare, often or both."""
+    rng = random.Random(paired)
+    rows = near_copies(rng, 4, 6) + [(1000 + i, t) for i, t in near_copies(rng, 2, 30)]
+    shared = " ".join(f"licence{i}" for i in range(60))
+    rows += [(2000 + i, f"{shared} tail{i} of{i}") for i in range(20)]
+    rows += [(3000 + i, " ".join([shared, *(f"own{i}x{j}" for j in range(3 * i))])) for i in range(20)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(jaccard, "PAIRED", paired, raising=False)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(
+        docs_of([(*r, "en", "s") for r in rows]), n=4, percent=percent, fragments=3, round_pivots=4, block_rows=8).collect()}
+    assert got == brute_jaccard(rows, 4, percent)
+
+
+def test_jaccard_compares_only_what_shares_enough(spark, docs_of, monkeypatch):
+    """Texts that share one short passage each with many others are no cluster; their own grams are not sent."""
+    compared, stored, kept = [], {}, jaccard.store
+    monkeypatch.setattr(jaccard, "_compare", lambda *a: compared.append(a))
+
+    def watched(df, name, *more):
+        stored[name] = kept(df, name, *more)
+        return stored[name]
+
+    monkeypatch.setattr(jaccard, "store", watched)
+    monkeypatch.setattr(jaccard, "release", lambda *tables: None)
+    many, passages = 24, {}
+    for a in range(many):  # a passage of thirty words for every two texts
+        for b in range(a):
+            passages[a, b] = passages[b, a] = " ".join(f"p{a}x{b}y{i}" for i in range(30))
+    rows = [(a, " ".join([*(passages[a, b] for b in range(many) if b != a), f"only{a} this{a} has{a}"]))
+            for a in range(many)]
+    out = jaccard.near_duplicates(docs_of([(*r, "en", "s") for r in rows]), n=5, percent=80, fragments=2).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(a, a) for a in range(many)]
+    assert not compared
+    grams = stored["grams"].groupBy("gram").count()
+    assert grams.count() and not grams.where("count = 1").count()
+
+
+def test_jaccard_rounds_grow(spark, docs_of, monkeypatch):
+    """A cluster without links takes fewer rounds than pivots allow in the first."""
+    many = []
+    compare = jaccard._compare
+    monkeypatch.setattr(jaccard, "_compare", lambda p, m, pivots, *a: (
+        many.append(pivots.count()), compare(p, m, pivots, *a))[1])
+    shared = " ".join(f"s{i}" for i in range(70))
+    rows = [(a, f"{shared} " + " ".join(f"o{a}x{i}" for i in range(26))) for a in range(44)]
+    out = jaccard.near_duplicates(
+        docs_of([(*r, "en", "s") for r in rows]), n=1, percent=70, round_pivots=4, block_rows=8).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_jaccard(rows, 1, 70)
+    assert many == [4, 8, 16, 16]
+
+
 def test_jaccard_edges(spark, docs_of):
     assert jaccard.near_duplicates(docs_of([])).count() == 0
     same = "one two three four five six seven"

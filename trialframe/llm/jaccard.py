@@ -3,7 +3,7 @@
 1. Equal sets are one class.  Of each class the first grams by hash are looked at: by the prefix
    theorem a class that shares too few of them with any other cannot link, and drops out.
 2. Over the rest, grams are put in one global order, the rarest first, and the order is cut into
-   fragments.  Classes that share a gram of their prefix in that order form clusters; no link
+   fragments.  Classes that share enough grams of their prefixes in that order form clusters; no link
    leads out of one.
 3. Clusters are compared block by block.  Every fragment counts its part of the overlaps of a
    block on its own, as one matrix; the matrices of all fragments are summed, and the sums give
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trialframe.llm.common import chunks, gram_hashes, mix, release, store, word_hashes
+from trialframe.llm.common import chunks, distinct, gram_hashes, mix, release, store, word_hashes
 from trialframe.llm.graph import components
 from trialframe.llm.hnsw import _forest
 
@@ -33,6 +33,10 @@ EXTRA = 25
 #: Texts that a worker holds at a time, grams of the whole sets it sends on at a time, and matches of
 #: grams that it counts at a time: its memory follows these, not the rows of a task.
 ROWS, SENT_GRAMS, MATCHES = 1_024, 1 << 18, 1 << 18
+#: A round has twice the pivots of the one before, up to so many times those of the first.
+MOST_PIVOTS = 4
+#: Classes with a gram in their prefixes that are paired with each other; of more, each goes with the first.
+PAIRED = 16
 
 
 def gram_sets(texts: list[str | None], n: int, fold: bool) -> Iterator[np.ndarray]:
@@ -41,14 +45,16 @@ def gram_sets(texts: list[str | None], n: int, fold: bool) -> Iterator[np.ndarra
         words, first = word_hashes(texts[i:j], fold)
         for a, b in zip(first[:-1], first[1:]):
             w = words[a:b]
-            yield np.unique(gram_hashes(w, n) if len(w) >= n else
-                            mix(gram_hashes(w, len(w)) + np.uint64(len(w))) if len(w) else w)
+            yield distinct(gram_hashes(w, n) if len(w) >= n else
+                           mix(gram_hashes(w, len(w)) + np.uint64(len(w))) if len(w) else w)
+
+
+_KEYS = np.array([[0x1B873593CC9E2D51], [0x85EBCA6BC2B2AE35]], np.uint64)
 
 
 def set_keys(s: np.ndarray) -> tuple[int, int]:
     """A 128-bit fingerprint of a set."""
-    out = [mix(s ^ np.uint64(c)).sum(dtype=np.uint64) for c in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35)]
-    return tuple(int(x.astype(np.int64)) for x in np.array(out))
+    return tuple(mix(s ^ _KEYS).sum(axis=1, dtype=np.uint64).view(np.int64).tolist())
 
 
 def least_overlap(n: Column | int, percent: int):
@@ -98,7 +104,7 @@ def _eligible(classes: DataFrame, percent: int) -> DataFrame:
     grams = classes.select("cid", F.explode("prefix").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(
         F.col("gram").alias("g"))
-    hits = grams.join(shared, F.col("gram") == F.col("g")).groupBy("cid").agg(F.count("*").alias("hits"))
+    hits = grams.join(shared.hint("shuffle_hash"), F.col("gram") == F.col("g")).groupBy("cid").agg(F.count("*").alias("hits"))
     need = F.greatest(F.lit(1), F.floor(least_overlap(F.col("size"), percent) / EXTRA))
     return classes.drop("prefix").join(hits, "cid").where(F.col("hits") >= need).drop("hits")
 
@@ -131,17 +137,59 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int, fold: bool) -> DataF
 
 
 def _ordered(sets: DataFrame, fragments: int) -> tuple[DataFrame, DataFrame]:
-    """The stored grams behind it, and (cid, grams): (place, gram, n, fragment) in global order."""
+    """The stored grams behind it, and (cid, grams): (place, gram, fragment) in global order.
+
+    Only of grams that several sets have: the others come first in the order, so that their number says
+    where a prefix ends, and they add to no overlap.
+    """
     grams = sets.select("cid", F.explode("grams").alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n")).select(F.col("gram").alias("g"), "n")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("g"), "n")
     # The order: by number of sets, then by hash.
     place = (F.col("n") * F.lit(1 << 20) + F.shiftrightunsigned("gram", 44)).alias("place")
-    placed = store(grams.join(counts, F.col("gram") == F.col("g")).select("cid", "gram", "n", place), "grams")
-    cuts = placed.where("n > 1").agg(F.percentile_approx(
+    placed = store(grams.join(counts.hint("shuffle_hash"), F.col("gram") == F.col("g")).select(
+        "cid", "gram", place), "grams")
+    cuts = placed.agg(F.percentile_approx(
         "place", [i / fragments for i in range(1, fragments)], 1000)).first()[0] or []
     fragment = sum((F.when(F.col("place") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
     return placed, placed.groupBy("cid").agg(F.array_sort(F.collect_list(
-        F.struct("place", "gram", F.col("n"), fragment.alias("fragment")))).alias("grams"))
+        F.struct("place", "gram", fragment.alias("fragment")))).alias("grams"))
+
+
+def _candidates(ordered: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) so that the classes of a link have a path between them; few others have.
+
+    Prefixes longer by e grams than the theorem's shortest, less one, share the lesser e of the two at
+    least.  Classes with a gram that is rare among prefixes are paired, and so many must be shared;
+    those that may share none but often found grams are tied to the first class of each.
+    """
+    least = least_overlap(F.col("size"), percent)
+
+    def longer(overlap: Column) -> Column:
+        return F.greatest(F.lit(1), F.floor(overlap / EXTRA))
+
+    extra = longer(least)
+    # What stands before the shared grams in the order is in the prefix as well.
+    into = F.size("grams") - least
+    seen = ordered.where(into >= 0).select(
+        "cid", "size", F.explode(F.slice("grams", F.lit(1), (into + extra).cast("int"))["gram"]).alias("gram"))
+    heads = seen.groupBy("gram").agg(F.count("*").alias("many"), F.min("cid").alias("head")).where(
+        "many > 1").select(F.col("gram").alias("g"), "many", "head")
+    marked = store(seen.join(heads.hint("shuffle_hash"), F.col("gram") == F.col("g")).drop("g"), "prefixes")
+    often = marked.where(F.col("many") > PAIRED)
+    of_often = often.groupBy("cid").agg(F.count("*").alias("often")).select(F.col("cid").alias("c"), "often")
+    one = F.struct("cid", "size", extra.alias("extra"), F.coalesce("often", F.lit(0)).alias("often"))
+    paired = marked.where(F.col("many") <= PAIRED).join(of_often, F.col("cid") == F.col("c"), "left").groupBy(
+        "gram").agg(F.collect_list(one).alias("row")).select("row", F.explode("row").alias("a")).select(
+        "a", F.explode("row").alias("b")).where("a.cid < b.cid").where(
+        (F.col("a.size") >= least_overlap(F.col("b.size"), percent))
+        & (F.col("b.size") >= least_overlap(F.col("a.size"), percent)))
+    enough = F.least("a.extra", "b.extra") - F.least("a.often", "b.often")
+    rare = paired.groupBy("a.cid", "b.cid").agg(F.count("*").alias("n"), F.first(enough).alias("enough")).toDF(
+        "a", "b", "n", "enough").where("n >= enough").select("a", "b")
+    # A partner has ``least`` grams at least.
+    tied = often.join(of_often, F.col("cid") == F.col("c")).where(
+        F.col("often") >= longer(least_overlap(least, percent))).where("cid <> head")
+    return rare.unionByName(tied.select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct())
 
 
 def _overlaps(t: pa.Table) -> pa.Table:
@@ -217,11 +265,7 @@ def _link(sets: DataFrame, percent: int, fragments: int, round_pivots: int, bloc
     placed, arranged = _ordered(sets, fragments)
     ordered = store(arranged.join(sets.select("cid", "size"), "cid"), "ordered")
     release(placed)
-    first = F.slice("grams", 1, (F.col("size") - least_overlap(F.col("size"), percent) + 1).cast("int"))
-    prefix = ordered.select("cid", F.explode(F.filter(first, lambda g: g["n"] > 1)["gram"]).alias("gram"))
-    heads = prefix.groupBy("gram").agg(F.min("cid").alias("head")).select(F.col("gram").alias("g"), "head")
-    clusters = components(prefix.join(heads, F.col("gram") == F.col("g")).where("cid <> head").select(
-        F.col("cid").alias("a"), F.col("head").alias("b")).distinct())
+    clusters = components(_candidates(ordered, percent))
     # Small clusters share bins of about a block; a large one has a bin of its own.
     sizes = clusters.groupBy("root").agg(F.count("*").alias("many"))
     total = clusters.count()
@@ -236,10 +280,11 @@ def _link(sets: DataFrame, percent: int, fragments: int, round_pivots: int, bloc
     every = F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment")
     parts = ordered.join(members.select("cid"), "cid").select("cid", "size", "grams", every).select(
         "cid", "size", "fragment",
-        F.filter("grams", lambda g: (g["fragment"] == F.col("fragment")) & (g["n"] > 1))["gram"].alias("grams"))
+        F.filter("grams", lambda g: g["fragment"] == F.col("fragment"))["gram"].alias("grams"))
 
     state = members.select("cid", "bin", F.col("cid").alias("root"), F.lit(False).alias("done"))
     linked: DataFrame | None = None
+    many = round_pivots
     while True:
         # A bin has work while its classes not yet done lie in more than one component.
         active = state.where("not done").groupBy("bin").agg(
@@ -248,9 +293,10 @@ def _link(sets: DataFrame, percent: int, fragments: int, round_pivots: int, bloc
         weight = todo.groupBy("bin", "root").agg(F.count("*").alias("weight"))
         order = Window.partitionBy("bin").orderBy("weight", F.xxhash64("cid"), "cid")
         chosen = store(todo.where("not done").join(weight, ["bin", "root"]).withColumn(
-            "nth", F.row_number().over(order)).where(F.col("nth") <= round_pivots).select("cid", "bin"), "pivots")
+            "nth", F.row_number().over(order)).where(F.col("nth") <= many).select("cid", "bin"), "pivots")
         if chosen.isEmpty():
             break
+        many = min(2 * many, MOST_PIVOTS * round_pivots)
         found = store(_compare(parts, members.join(chosen.select("bin").distinct(), "bin"),
                                chosen.select("cid"), percent), "links")
         linked = components(found if linked is None else found.unionByName(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import WORD, chunks, gram_hashes, release, store, word_hashes
+from trialframe.llm.common import WORD, chunks, distinct, gram_hashes, release, store, word_hashes
 from trialframe.llm.fmindex import FMIndex
 
 ANCHOR = 5
@@ -56,7 +56,7 @@ def stretches(texts: list[str | None], threshold: int):
 
 def _anchors(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.unique(a).view(np.int64) for a, _, _ in
+        found = [distinct(a).view(np.int64) for a, _, _ in
                  stretches(batch.column("text").to_pylist(), threshold)]
         flat = np.concatenate(found) if found else np.zeros(0, np.int64)
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
