@@ -204,6 +204,18 @@ def test_blocks_of_a_larger_table_stay_few():
     assert count_blocks(10_000_000, 2_048, 800) == 120  # no more than 64 MB of rows
 
 
+def test_ward_rounds_keep_plans_small(spark):
+    """The size that Spark expects of a round's tables does not grow from round to round."""
+    rng = np.random.default_rng(6)
+    rows = [(i, 1.0, 0.0, rng.random(3).tolist()) for i in range(150)]
+    clusters, near = spark.createDataFrame(rows, "cid long, n double, h double, x array<double>"), None
+    for _ in range(5):
+        clusters, _, near, _ = ward._pair_round(clusters, near, 150, 3, 64)
+    for t in (clusters, near):
+        assert int(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1 << 40
+    assert clusters.agg(F.sum("n")).first()[0] == 150
+
+
 def test_ward_cell_leaves_what_walls_may_hide():
     """Merges of a cell are merges of the whole, and a wall right beside a point blocks it."""
     rng = np.random.default_rng(8)
