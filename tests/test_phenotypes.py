@@ -212,7 +212,8 @@ def test_ward_rounds_keep_plans_small(spark):
     for _ in range(5):
         clusters, _, near, _ = ward._pair_round(clusters, near, 150, 3, 64)
     for t in (clusters, near):
-        assert int(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1 << 40
+        size = t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        assert int(str(size)) < 1 << 40
     assert clusters.agg(F.sum("n")).first()[0] == 150
 
 
